@@ -37,9 +37,49 @@ def op5_count_min_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_windows(_table(spark, sf_dir, "documents"))
 
 
+def op7_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quernel.llm.line_dedup import dedup_lines
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernel.llm.source_mixing import mix_digest
+
+    return mix_digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
+_BLANK = "' ' || chr(9) || chr(11) || chr(12) || chr(13)"
+
+#: Windows of three content lines; a line goes if a window over it stands at an earlier position too.
+_OP7 = f"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM documents WHERE text IS NOT NULL),
+content AS (SELECT doc_id, i, trim(line, {_BLANK}) AS t FROM lines WHERE trim(line, {_BLANK}) <> ''),
+windows AS (
+  SELECT doc_id, i AS first, lead(i, 2) OVER w AS last,
+         t || chr(10) || lead(t, 1) OVER w || chr(10) || lead(t, 2) OVER w AS whole
+  FROM content WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+later AS (
+  SELECT doc_id, first, last FROM (
+    SELECT *, row_number() OVER (PARTITION BY whole ORDER BY doc_id, first) AS n FROM windows WHERE last IS NOT NULL) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS i FROM later),
+kept AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
+         coalesce(string_agg(CASE WHEN g.i IS NULL THEN l.line END, chr(10) ORDER BY l.i), '') AS text
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed, md5(k.text) AS kept_md5
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_winnowing": _OP7}
