@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -17,6 +18,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 _FALLBACK: dict[str, str] = {}
 
 
+def per_process() -> dict:
+    """Tables that a Python process makes once; never sent to another."""
+    return sys.__dict__.setdefault("_quernel_tables", {})
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

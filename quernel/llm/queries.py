@@ -52,6 +52,22 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(_table(spark, sf_dir, "documents"))
 
 
+def op8_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernel.llm.bm25_packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quernel.llm.ordinal_quality import grade, scored, train
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    ratings = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), grade().alias("grade"))
+    return scored(docs, train(docs, ratings)).select("doc_id", "expected_grade", "tail_probability", "keep")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from quernel.llm.common import per_process
+
 #: Bytes that are hashed at once; longer texts go in pieces cut at white space where there is any.
 PIECE = 1 << 21
 
@@ -15,12 +17,12 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _rng = np.random.default_rng(977)
 _BYTE = _rng.integers(1 << 62, 1 << 63, 256, dtype=np.uint64)
 _WORD_BASE = 0x9E6C63D0876A9A47
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n of an odd base and of its inverse, modulo 2^64."""
-    have = _tables.get(base)
+    tables = per_process()
+    have = tables.get(("powers", base))
     if have is None or len(have[0]) <= n:
         size = 1 << max(16, n.bit_length())
         both = []
@@ -28,7 +30,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             p = np.full(size + 1, b, np.uint64)
             p[0] = 1
             both.append(np.cumprod(p))
-        have = _tables[base] = tuple(both)
+        have = tables["powers", base] = tuple(both)
     return have
 
 
