@@ -68,6 +68,18 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, train(docs, ratings)).select("doc_id", "expected_grade", "tail_probability", "keep")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernel.llm.license_scan import document_paths, scan
+
+    return scan(document_paths(_table(spark, sf_dir, "documents")))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernel.llm.html_text import page_texts
+
+    return page_texts(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -97,5 +109,53 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
 
+def _op2() -> str:
+    from quernel.llm.license_scan import THRESHOLD, template_rows
+
+    values = ", ".join(f"({i}, '{name}', '{t}', {n})" for i, name, t, n in template_rows())
+    split = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
+    return f"""
+WITH templates(template, license, term, n) AS (VALUES {values}),
+files AS (
+  SELECT doc_id, coalesce(source, '-') || '/' || coalesce(lang, '-') || '/' || (doc_id // 100) AS dir, text FROM documents),
+paths AS (SELECT *, dir || '/' || doc_id || '.txt' AS path FROM files),
+units AS (
+  SELECT doc_id, 0 AS line, text AS body FROM files WHERE text IS NOT NULL
+  UNION ALL
+  SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1), unnest(string_split(text, chr(10))) FROM files WHERE text IS NOT NULL),
+tokens AS (SELECT doc_id, line, unnest({split.format('body')}) AS term FROM units),
+counts AS (SELECT doc_id, line, term, count(*) AS n FROM tokens GROUP BY ALL),
+total AS (SELECT count(*) AS files FROM files),
+df AS (SELECT term, count(*) AS df FROM counts WHERE line = 0 GROUP BY term),
+idf AS (
+  SELECT t.term, ln((files + 1) / (coalesce(df, 0) + 1)::DOUBLE) + 1 AS idf
+  FROM (SELECT DISTINCT term FROM templates) t LEFT JOIN df ON t.term = df.term, total),
+tw AS (
+  SELECT template, license, t.term, n * idf / sqrt(sum((n * idf) ** 2) OVER (PARTITION BY template)) AS tw
+  FROM templates t JOIN idf ON t.term = idf.term),
+weighted AS (
+  SELECT c.*, idf, n * coalesce(idf, ln(files + 1.0::DOUBLE) + 1) AS w
+  FROM counts c LEFT JOIN idf ON c.term = idf.term, total),
+norms AS (SELECT doc_id, line, sqrt(sum(w * w)) AS norm FROM weighted GROUP BY ALL),
+dots AS (SELECT doc_id, line, template, license, sum(w * tw) AS dot FROM weighted JOIN tw ON weighted.term = tw.term GROUP BY ALL),
+matches AS (
+  SELECT d.doc_id, d.line, template, license, round(dot / norm, 6) AS cosine
+  FROM dots d JOIN norms m ON d.doc_id = m.doc_id AND d.line = m.line WHERE round(dot / norm, 6) >= {THRESHOLD}),
+best AS (SELECT * FROM matches QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY cosine DESC, template) = 1),
+own AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, line) = 1),
+of_dir AS (
+  SELECT dir, path, license, cosine FROM best JOIN paths USING (doc_id) WHERE line = 0
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, path) = 1),
+heirs AS (
+  SELECT p.doc_id, o.license, o.cosine, o.path FROM paths p JOIN of_dir o ON p.dir = o.dir OR starts_with(p.dir, o.dir || '/')
+  QUALIFY row_number() OVER (PARTITION BY p.doc_id ORDER BY length(o.dir) DESC) = 1)
+SELECT p.doc_id, p.path, coalesce(own.license, h.license) AS license,
+       CASE WHEN own.license IS NOT NULL THEN 'notice' WHEN h.license IS NOT NULL THEN 'inherited' END AS origin,
+       coalesce(own.cosine, h.cosine) AS cosine,
+       CASE WHEN own.license IS NOT NULL THEN p.path ELSE h.path END AS found_in
+FROM paths p LEFT JOIN own ON p.doc_id = own.doc_id LEFT JOIN heirs h ON p.doc_id = h.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_winnowing": _OP7}
+    return {"op2_license_scan": _op2(), "op7_line_winnowing": _OP7}

@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.llm.common import components, cut, fresh, unite, whole_groups
@@ -231,11 +231,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 4) -> DataFrame:
     """The rows of docs that stay: of each component the row with the least id; of rows that repeat it, one.
 
-    Rows without an id stay only where their component has no id at all, one for each fingerprint.
+    Of rows without an id one stays, and only where their component has no id at all.
     """
     groups = near_duplicates(docs, id_col, text_col, budget)
-    key = fresh(docs, "key_")
-    keep = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(key)).distinct()
+    names = [fresh(docs, x) for x in ("key_a", "key_b", "key_n")]
+    a, b, n = names
+
+    def keys(df: DataFrame) -> DataFrame:
+        return df.withColumns({a: F.xxhash64(id_col), b: F.xxhash64(id_col, F.lit(7))})  # never null
+
+    keep = keys(groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col)).select(a, b).distinct()
     rest = [c for c in docs.columns if c != id_col]
-    once = docs.join(keep, docs[id_col].eqNullSafe(keep[key]), "left_semi")
-    return once.groupBy(id_col).agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias(key)).select(*[F.col(id_col) if c == id_col else F.col(f"{key}.{c}").alias(c) for c in docs.columns])
+    once = Window.partitionBy(a, b).orderBy(F.xxhash64(*rest)) if rest else Window.partitionBy(a, b).orderBy(a)
+    return keys(docs).join(keep, [a, b], "left_semi").withColumn(n, F.row_number().over(once)).where(F.col(n) == 1).select(*docs.columns)

@@ -93,19 +93,19 @@ def draws(sources: DataFrame, block: int, shard_slots: int, seed: int) -> DataFr
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 64, shard_slots: int = 4096, seed: int = 42, share: float = 1.5) -> tuple[DataFrame, DataFrame]:
-    """(rows, pieces). rows: row_id, doc_id, key, source, size, source_size, target for each row of docs.
+    """(rows, pieces). rows: row_id, doc_id, key_a, key_b, source, size, source_size, target for each row of docs.
 
-    pieces: row_id, out_shard, slot, pass, first, words: which words of a row stand in which slot. key: a hash of the
-    text. block: words of a block; out_shard has shard_slots slots.
+    pieces: row_id, out_shard, slot, pass, first, words: which words of a row stand in which slot. key_a, key_b: hashes of
+    id and text. block: words of a block; out_shard has shard_slots slots.
     Defined results: a null text has size 0 and is taken 0 times; a null source is a source of its own, last; repeated
     rows are rows of their own; a null id passes through; sources without words have target 0; an empty table gives no
     rows; other columns are not read. The result depends on the rows alone, not on their order or partitions.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("key"), word_count(text_col).alias("size"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *_keys(id_col, text_col), word_count(text_col).alias("size"))
     sized = cut(sized.withColumn("row_id", F.monotonically_increasing_id()), "mix-sizes")
     sources = cut(source_targets(sized, share), "mix-targets")
     rows = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    order = [F.col("sid"), F.xxhash64(F.lit(seed), "doc_id", "key"), F.col("doc_id"), F.col("key"), F.col("row_id")]
+    order = [F.col("sid"), F.xxhash64(F.lit(seed), "key_a", "key_b"), F.col("key_a"), F.col("key_b"), F.col("row_id")]
     rows = numbered(rows, order, "offset", F.col("size"), "mix-offsets")
     starts = numbered(sources, [F.col("sid")], "source_start", F.col("source_size"), "mix-starts").select("sid", "source_start")
     rows = cut(rows.join(starts, "sid").withColumn("offset", F.col("offset") - F.col("source_start")).drop("source_start"), "mix-rows")
@@ -131,17 +131,21 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A document taken whole keeps its text as it is; otherwise the taken words are joined by single spaces, in order.
     """
     rows, pieces = mix(docs, id_col, text_col, **params)
-    taken = pieces.groupBy("row_id", "pass").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("parts"), F.sum("words").alias("n"))
-    taken = taken.join(rows.select("row_id", "doc_id", "key", "size"), "row_id")
-    names = [fresh(docs, x) for x in ("id__", "key__", "parts__", "n__", "size__")]
-    taken = taken.select(*[F.col(c).alias(x) for c, x in zip(("doc_id", "key", "parts", "n", "size"), names, strict=True)])
-    id_, key, parts, n, size = names
-    once = docs.withColumn(fresh(docs, "hash__"), F.xxhash64(text_col))
-    once = once.dropDuplicates()  # equal rows each have their own parts, which are all given to the one that is left
-    hash_ = once.columns[-1]
-    joined = once.join(taken, F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(hash_) == F.col(key)))
-    words = F.regexp_extract_all(text_col, F.lit(f"({WORD})"), F.lit(1))
-    some = F.array_join(F.flatten(F.transform(F.col(parts), lambda p: F.slice(F.col("words__"), (p["first"] + 1).cast("int"), p["words"].cast("int")))), " ")
-    joined = joined.withColumn("words__", F.when(F.col(n) < F.col(size), words))
-    text = F.when(F.col(n) < F.col(size), some).otherwise(F.col(text_col))
+    parts = F.sort_array(F.collect_list(F.struct("first", "words")))
+    taken = pieces.groupBy("row_id", "pass").agg(parts.alias("parts"), F.sum("words").alias("n"))
+    taken = taken.join(rows.select("row_id", "key_a", "key_b", "size"), "row_id")
+    a, b, nth, takes, take, words = (fresh(docs, x) for x in ("key_a", "key_b", "nth_", "takes_", "take_", "words_"))
+    taken = taken.groupBy(F.col("key_a").alias(a), F.col("key_b").alias(b)).agg(F.collect_list(F.struct("parts", "n", "size")).alias(takes))
+    keyed = docs.withColumns(dict(zip((a, b), _keys(id_col, text_col), strict=True)))
+    joined = keyed.join(taken, [a, b])  # equal rows share their takes; the first of them is given all
+    joined = joined.withColumn(nth, F.row_number().over(Window.partitionBy(a, b).orderBy(a))).where(F.col(nth) == 1)
+    joined = joined.withColumn(words, F.when(F.exists(takes, lambda t: t["n"] < t["size"]), F.regexp_extract_all(text_col, F.lit(f"({WORD})"), F.lit(1))))
+    joined = joined.select("*", F.explode(takes).alias(take))
+    some = F.array_join(F.flatten(F.transform(F.col(take)["parts"], lambda p: F.slice(words, (p["first"] + 1).cast("int"), p["words"].cast("int")))), " ")
+    text = F.when(F.col(take)["n"] < F.col(take)["size"], some).otherwise(F.col(text_col))
     return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+
+
+def _keys(id_col: str, text_col: str) -> list[Column]:
+    """Two hashes of id and text, never null: rows with equal keys are equal rows."""
+    return [F.xxhash64(id_col, text_col).alias("key_a"), F.xxhash64(text_col, id_col, F.lit(1)).alias("key_b")]
