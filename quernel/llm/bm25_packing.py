@@ -121,23 +121,24 @@ class Index:
         doc, term, count, words = (np.concatenate(x) for x in zip(*parts, strict=True))
         idf = np.log1p((n_docs - df[term] + 0.5) / (df[term] + 0.5))
         weight = idf * count * (K1 + 1) / (count + K1 * (1 - B + B * words[doc] / max(mean, 1e-9)))
-        order = np.argsort(term, kind="stable")
+        order = np.sort((term << 40) | np.arange(len(term))) & ((1 << 40) - 1)  # by term, then document
         self.posting_doc, self.posting_weight = doc[order], weight[order]
         used, first = np.unique(term[order], return_index=True)
         self.first = np.append(first, len(order))
         self.n = len(texts)
-        shared = np.diff(self.first)[np.searchsorted(used, term)] > 1  # terms of one document of the shard lead nowhere
-        doc, term, idf = doc[shared], term[shared], idf[shared]
-        order = np.lexsort((term, -idf, doc))
-        doc = doc[order]
-        self.query_first = np.searchsorted(doc, np.arange(self.n + 1))
-        self.query = np.searchsorted(used, term[order])
+        place = np.zeros(1 << bits, np.int64)
+        place[used] = np.arange(len(used))
+        shared = np.diff(self.first)[place[term]] > 1  # terms of one document of the shard lead nowhere
+        self.query, self.query_idf = place[term[shared]], idf[shared]
+        self.query_first = np.searchsorted(doc[shared], np.arange(self.n + 1))
         self.query_terms = query_terms
 
     def neighbours(self, seed: int, free: np.ndarray) -> np.ndarray:
         """The free documents that share a query term with the seed, best first, ties by position."""
         s, e = self.query_first[seed], self.query_first[seed + 1]
-        terms = self.query[s : min(e, s + self.query_terms)]
+        terms = self.query[s:e]
+        if len(terms) > self.query_terms:  # the rarest, ties by term
+            terms = terms[np.lexsort((terms, -self.query_idf[s:e]))[: self.query_terms]]
         if not len(terms):
             return terms
         a, b = self.first[terms], self.first[terms + 1]
