@@ -24,20 +24,23 @@ from pyspark.sql import functions as F
 from quernel.llm.common import components, cut, unite, whole_groups
 
 SEED = 20240607
+#: Independent codes; with more of them the numbers of filters that vectors pass differ less.
+CODES = 2
 
 
 class ProductCode:
-    """Random product code for vectors of `dim` components: about `filters` directions, caps that hold a share `share`."""
+    """Random product code for `dim` components: `filters` directions or more; a random vector passes `passes` of them."""
 
-    def __init__(self, dim: int, filters: int, share: float, seed: int = SEED):
+    def __init__(self, dim: int, filters: int, passes: float, seed: int = SEED):
         rng = np.random.default_rng([seed, dim])
-        self.blocks = max(1, min(3, dim // 4))
+        most = max(1, min(3, dim // 4))  # of blocks, each with its directions' negatives at least
+        self.blocks = next((m for m in range(most, 2, -1) if filters >= (2 * -(-dim // m)) ** m), min(2, most))
         self.cuts = [len(x) for x in np.array_split(np.arange(dim), self.blocks)]
         self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-        words = max(2, math.ceil(filters ** (1 / self.blocks)))
+        words = max(2 * max(self.cuts), math.ceil(filters ** (1 / self.blocks)))
         self.codes = [self._code(rng, d, words) for d in self.cuts]
         self.base = words
-        height = NormalDist().inv_cdf(1 - min(share, 0.5)) / math.sqrt(dim)
+        height = NormalDist().inv_cdf(1 - min(passes / words**self.blocks, 0.5)) / math.sqrt(dim)
         self.height = min(height, 0.7) * math.sqrt(self.blocks)  # a direction's words have length 1 each
 
     @staticmethod
@@ -77,23 +80,28 @@ def _passing(classes: DataFrame, counts: dict[int, int], passes: float, bucket:
     """Classes with `filters`, the sorted filters that they pass. counts: the most classes of one label, by dimension."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[int, ProductCode] = {}
+        codes: dict[int, list[ProductCode]] = {}
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                dims = np.array([len(v) for v in b.column(3)])
-                found: list = [None] * b.num_rows
+                values, offsets = _flat(b.column(3))
+                dims = np.diff(offsets)
+                rows, words = [], []
                 for d in np.unique(dims).tolist():
                     if d not in codes:
-                        filters = max(8, math.ceil(counts[d] * passes / bucket))
-                        codes[d] = ProductCode(d, filters, passes / filters, seed)
-                    rows = np.flatnonzero(dims == d)
-                    unit = _units(np.array([b.column(3)[int(i)].as_py() for i in rows], np.float64))
-                    own, word = codes[d].decode(unit)
-                    ends = np.searchsorted(own, np.arange(len(rows) + 1))
-                    for k, i in enumerate(rows.tolist()):
-                        found[i] = word[ends[k] : ends[k + 1]].tolist()
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(dims, pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["cid", "label", "copies", "dim", "filters"])
+                        filters = max(8, math.ceil(counts[d] * passes / bucket / CODES))
+                        codes[d] = [ProductCode(d, filters, passes / CODES, seed + k) for k in range(CODES)]
+                    own = np.flatnonzero(dims == d)
+                    unit = _units(values[offsets[own][:, None] + np.arange(d)].astype(np.float64))
+                    for k, code in enumerate(codes[d]):
+                        row, word = code.decode(unit)
+                        rows.append(own[row])
+                        words.append(word * CODES + k)
+                row, word = np.concatenate(rows), np.concatenate(words)
+                order = np.lexsort((word, row))
+                ends = np.searchsorted(row[order], np.arange(b.num_rows + 1))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(word[order]))
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(dims, pa.int32()), lists], names=["cid", "label", "copies", "dim", "filters"])
 
     label = classes.schema["label"].dataType.simpleString()
     return classes.select("cid", "label", "copies", "vec").mapInArrow(work, f"cid bigint, label {label}, copies bigint, dim int, filters array<bigint>")
@@ -105,32 +113,36 @@ def _units(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _bucket_links(members: list[dict], filter_id: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """For the members of one filter (or of one pair of its chunks): copies linked to each, and a forest (label array)."""
-    unit = _units(np.array([m["vec"] for m in members], np.float64))
+def _flat(lists) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list array end to end, and where each list starts (one entry more at the end)."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    return lists.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0]
+
+
+def _bucket_links(unit: np.ndarray, side: np.ndarray | None, copies: np.ndarray, filters: list[np.ndarray], filter_id: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """For the members of one filter: copies linked to each, and a forest (label array). side: of a pair of its chunks."""
     near = unit @ unit.T >= least
     np.fill_diagonal(near, False)
-    side = np.array([m["side"] for m in members])
-    if members[0]["i"] != members[0]["j"]:
+    if side is not None:
         near &= side[:, None] != side[None, :]
-    label = np.arange(len(members))
-    if not near.any():
-        return np.zeros(len(members), np.int64), label
+    label = np.arange(len(unit))
+    hit = np.flatnonzero(near.any(axis=1))
+    if not len(hit):
+        return np.zeros(len(unit), np.int64), label
     a, b = np.nonzero(near)
     unite(label, a[a < b], b[a < b])
-    hit = np.flatnonzero(near.any(axis=1))
-    lists = [[f for f in members[i]["filters"] if f < filter_id] for i in hit.tolist()]
-    known = {f: k for k, f in enumerate(sorted({f for x in lists for f in x}))}
-    if known:
+    lists = [filters[i][filters[i] < filter_id] for i in hit.tolist()]
+    known, at = np.unique(np.concatenate(lists), return_inverse=True)
+    if len(known):
         has = np.zeros((len(hit), len(known)), np.float32)
-        for k, x in enumerate(lists):
-            has[k, [known[f] for f in x]] = 1
+        has[np.repeat(np.arange(len(hit)), [len(x) for x in lists]), at] = 1
         near[np.ix_(hit, hit)] &= has @ has.T < 0.5  # pairs with an earlier common filter are counted there
-    copies = np.array([m["copies"] for m in members], np.int64)
-    return near.astype(np.float64) @ copies.astype(np.float64), label
+    return (near.astype(np.float64) @ copies.astype(np.float64)).astype(np.int64), label
 
 
-def cap_links(classes: DataFrame, least: float, passes: float = 24.0, bucket: int = 48, chunk: int = 2048, seed: int = SEED) -> DataFrame:
+def cap_links(classes: DataFrame, least: float, passes: float = 20.0, bucket: int = 48, chunk: int = 2048, seed: int = SEED) -> DataFrame:
     """(cid, linked: copies in other classes linked to it, root) from every filter where a class has a link.
 
     classes: cid, label, vec (finite, not zero, not null), copies. passes: how many filters a vector passes on average,
@@ -155,16 +167,19 @@ def cap_links(classes: DataFrame, least: float, passes: float = 24.0, bucket: in
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, keys, 4096):
             cols = [table.column(k).to_numpy() for k in keys]
+            cid, copies, side = (table.column(k).to_numpy() for k in ("cid", "copies", "side"))
+            (vec, v_at), (passed, f_at) = _flat(table.column("vec")), _flat(table.column("filters"))
             new = np.ones(table.num_rows, bool)
             new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
-            start = np.flatnonzero(new)
-            cid, out = table.column("cid").to_numpy(), []
+            start, out = np.flatnonzero(new), []
             for s, e in zip(start.tolist(), [*start[1:].tolist(), table.num_rows], strict=True):
                 if e - s > 1:
-                    group = table.slice(s, e - s).select(["vec", "filters", "copies", "side", "i", "j"]).to_pylist()
-                    linked, label = _bucket_links(group, int(cols[2][s]), least)
+                    unit = _units(vec[v_at[s] : v_at[e]].reshape(e - s, -1).astype(np.float64))
+                    lists = [passed[f_at[k] : f_at[k + 1]] for k in range(s, e)]
+                    linked, label = _bucket_links(unit, side[s:e] if cols[3][s] != cols[4][s] else None, copies[s:e], lists, int(cols[2][s]), least)
                     has = (linked > 0) | (label != np.arange(e - s))
-                    out += [(cid[s:e][has], linked[has].astype(np.int64), cid[s:e][label[has]])]
+                    if has.any():
+                        out.append((cid[s:e][has], linked[has], cid[s:e][label[has]]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["cid", "linked", "root"])
 
