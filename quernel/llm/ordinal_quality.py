@@ -91,10 +91,14 @@ class OrdinalModel:
 
         Features in fewer than `least` texts have weight zero.
         """
-        row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-        common = np.bincount(feats, minlength=1 << bits)[feats] >= least
-        row, feats = row[common], feats[common]
-        used, col = np.unique(feats, return_inverse=True)
+        common = (np.bincount(feats, minlength=1 << bits) >= least)[feats]
+        row = np.repeat(np.arange(len(ends) - 1, dtype=np.int32), np.diff(ends))[common]
+        feats = feats[common].astype(np.int32)
+        used = np.unique(feats)
+        place = np.zeros(1 << bits, np.int32)
+        place[used] = np.arange(len(used))
+        col = place[feats]
+        del common, feats, place
         n = len(grades)
         y = grades.astype(np.int64)
         below = np.cumsum(np.bincount(y, minlength=n_grades))[:-1]
@@ -157,9 +161,11 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = picked.mapInArrow(work, f"id {kind}, grade int, feats binary").orderBy("id", "feats").collect()
-    feats = [np.frombuffer(r["feats"], np.int32) for r in rows]
-    ends = np.concatenate([[0], np.cumsum([len(f) for f in feats])]).astype(np.int64)
-    return OrdinalModel.fit(ends, np.concatenate(feats) if feats else np.zeros(0, np.int64), np.array([r["grade"] for r in rows], np.int64), n_grades, bits, **fit)
+    ends = np.concatenate([[0], np.cumsum([len(r["feats"]) // 4 for r in rows])]).astype(np.int64)
+    feats = np.frombuffer(b"".join(r["feats"] for r in rows), np.int32)
+    grades = np.array([r["grade"] for r in rows], np.int64)
+    del rows
+    return OrdinalModel.fit(ends, feats, grades, n_grades, bits, **fit)
 
 
 def scored(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", select: int = 2, least: float = 0.5) -> DataFrame:
