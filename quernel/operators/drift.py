@@ -55,7 +55,7 @@ def _binned(rows: DataFrame, edges: DataFrame, bin_of: Column) -> DataFrame:
     """(feature, bin, a, b) counts with empty bins of a feature's `n_bins` as rows of zeros."""
     counts = rows.join(edges, "feature").withColumn("bin", bin_of).where("bin is not null")
     counts = counts.groupBy("feature", "bin").agg(F.sum((F.col("side") == 0).cast("double")).alias("a"), F.sum((F.col("side") == 1).cast("double")).alias("b"))
-    spine = edges.select("feature", F.explode(F.sequence(F.lit(0), F.col("n_bins") - 1)).cast("long").alias("bin"))
+    spine = edges.select("feature", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bins").cast("long") - 1)).alias("bin"))
     return spine.join(counts, ["feature", "bin"], "left").na.fill(0.0, ["a", "b"])
 
 
