@@ -11,7 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+#: The most ranges; there are at most two for each shuffle partition.
+RANGES = 256
 
 
 def as_number(df: DataFrame, name: str) -> Column:
@@ -26,9 +27,10 @@ def as_number(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
-def running(df: DataFrame, order: Sequence[str], sums: Mapping[str, Column], by: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
+def running(df: DataFrame, order: Sequence[str], sums: Mapping[str, Column], by: Sequence[str] = (), most: int = RANGES) -> DataFrame:
     """df with, for each name in sums, the sum of its column over the rows up to this one in `order`, within `by`."""
     by = list(by)
+    ranges = max(4, min(most, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     value = as_number(df, order[0])
     cuts = [i / ranges for i in range(1, ranges)]
     breaks = (df.groupBy(*by) if by else df).agg(F.percentile_approx(value, F.array(*[F.lit(c) for c in cuts]), F.lit(1000)).alias("_breaks"))

@@ -78,7 +78,7 @@ def m6(spark, d):
 
 @query("m7_rules")
 def m7(spark, d):
-    return X.rules(_items(spark, d).withColumn("dear", (F.col("y") > 30).cast("int")), FEATURES, "dear", trees=5, depth=2, penalty=0.0001)
+    return X.rules(_items(spark, d).withColumn("dear", (F.col("l_quantity") * (1 - 5 * F.col("l_discount")) > 20).cast("int")), FEATURES, "dear", trees=5, depth=2, penalty=0.0001)
 
 
 @query("m8_logistic")

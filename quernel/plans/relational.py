@@ -196,8 +196,8 @@ def j6(spark, d):
 _TOP = "(SELECT l_linenumber AS fold, l_partkey AS item FROM (SELECT l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_linenumber ORDER BY sum(l_quantity) DESC, l_partkey) AS k FROM lineitem GROUP BY 1, 2) WHERE k <= 500)"
 
 
-@query("j7_fold_jaccard", f"""WITH t AS {_TOP}, p AS (SELECT a.fold AS a, b.fold AS b, count(*) AS n FROM t a JOIN t b ON a.item = b.item AND a.fold < b.fold GROUP BY 1, 2), f AS (SELECT count(DISTINCT fold) AS k FROM t)
-SELECT round(sum(n / (1000.0::DOUBLE - n)) / any_value(k * (k - 1) / 2), 6) AS jaccard FROM p, f""")
+@query("j7_fold_jaccard", f"""WITH t AS {_TOP}, p AS (SELECT a.fold AS a, b.fold AS b, count(*) AS n FROM t a JOIN t b ON a.item = b.item AND a.fold < b.fold GROUP BY 1, 2), s AS (SELECT fold, count(*) AS n FROM t GROUP BY 1), f AS (SELECT count(*) AS k FROM s)
+SELECT round(sum(p.n / (x.n + y.n - p.n)::DOUBLE) / any_value(k * (k - 1) / 2), 6) AS jaccard FROM p JOIN s x ON p.a = x.fold JOIN s y ON p.b = y.fold, f""")
 def j7(spark, d):
     sums = table(spark, d, "lineitem").groupBy("l_linenumber", "l_partkey").agg(F.sum("l_quantity").alias("q"))
     top = sums.withColumn("k", F.row_number().over(Window.partitionBy("l_linenumber").orderBy(F.desc("q"), "l_partkey"))).where("k <= 500")

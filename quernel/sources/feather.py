@@ -9,7 +9,7 @@ import pyarrow.feather  # noqa: F401  (registers the readers)
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
-from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StructType
 
 
@@ -54,8 +54,8 @@ class _Message(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, overwrite: bool):
-        self.path, self.overwrite = path, overwrite
+    def __init__(self, path: str, schema: pa.Schema):
+        self.path, self.schema = path, schema
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
@@ -64,12 +64,9 @@ class _Writer(DataSourceArrowWriter):
         fs.create_dir(at, recursive=True)
         # named by partition, so that a second attempt replaces what a lost one left
         with fs.open_output_stream(f"{at}/part-{TaskContext.get().partitionId():05d}.feather") as f:
-            writer = None
-            for b in batches:
-                writer = writer or pa.ipc.new_file(f, b.schema)
-                writer.write_batch(b)
-            if writer:
-                writer.close()
+            with pa.ipc.new_file(f, self.schema) as writer:  # an empty partition has the schema all the same
+                for b in batches:
+                    writer.write_batch(b.cast(self.schema))
         return _Message()
 
 
@@ -92,7 +89,10 @@ class FeatherDataSource(DataSource):
         return _Reader(self.options["path"], schema)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return _Writer(self.options["path"], overwrite)
+        fs, at = _open(self.options["path"])
+        if overwrite and fs.get_file_info(at).type == pyarrow.fs.FileType.Directory:
+            fs.delete_dir_contents(at)
+        return _Writer(self.options["path"], to_arrow_schema(schema))
 
 
 def read_feather(spark: SparkSession, path: str) -> DataFrame:
