@@ -240,9 +240,6 @@ def visible(node: Node) -> bool:
         return False
     if node.tag == "dialog" and "open" not in a:
         return False
-    up = node.up
-    if up is not None and up.tag == "details" and "open" not in up.attrs and node.tag != "summary":
-        return False
     return not ("style" in a and _NO_SHOW.search(a["style"]))
 
 
@@ -421,6 +418,8 @@ def render(root: Node) -> str:
             kids = node.kids
             if tag == "select":
                 kids = _chosen(node)
+            elif tag == "details" and "open" not in node.attrs:
+                kids = [k for k in kids if isinstance(k, Node) and k.tag == "summary"]
             stack.extend((k, False) for k in reversed(kids))
             continue
         if tag in ("td", "th") and tables:

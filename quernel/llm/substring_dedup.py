@@ -120,6 +120,8 @@ def _min_id(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 def _by_document(ids: np.ndarray, keys: np.ndarray, at: np.ndarray) -> list[tuple[int, int, bytes]]:
     """(doc_id, text key, starts of windows to remove) from one entry per window."""
+    if not len(ids):
+        return []
     order = np.lexsort((at, keys, ids))
     ids, keys, at = ids[order], keys[order], at[order]
     new = np.ones(len(ids), bool)
