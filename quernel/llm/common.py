@@ -51,6 +51,12 @@ def drop_cut(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Delete every table that cut() has left in the shared folder. Results that have not been written yet need them."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark)}/quernel")
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have, whatever the letter case."""
     taken = {c.lower() for c in df.columns}
