@@ -23,6 +23,7 @@ from quernel.llm.word_hash import mix, slices, word_hashes
 
 SPACE_BITS = 20
 GRADES = 3
+_PART = 1 << 18
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -91,14 +92,17 @@ class OrdinalModel:
 
         Features in fewer than `least` texts have weight zero.
         """
-        common = (np.bincount(feats, minlength=1 << bits) >= least)[feats]
-        row = np.repeat(np.arange(len(ends) - 1, dtype=np.int32), np.diff(ends))[common]
-        feats = feats[common].astype(np.int32)
-        used = np.unique(feats)
-        place = np.zeros(1 << bits, np.int32)
+        counts = np.zeros(1 << bits, np.int64)
+        for at in range(0, len(feats), _PART):
+            counts += np.bincount(feats[at : at + _PART], minlength=1 << bits)
+        used = np.flatnonzero(counts >= least)
+        place = np.full(1 << bits, -1, np.int32)
         place[used] = np.arange(len(used))
         col = place[feats]
-        del common, feats, place
+        row = np.repeat(np.arange(len(ends) - 1, dtype=np.int32), np.diff(ends))[col >= 0]
+        col = col[col >= 0]
+        del counts, feats, place
+        parts = [slice(at, at + _PART) for at in range(0, len(col), _PART)]  # so that no copy is as long as the sample
         n = len(grades)
         y = grades.astype(np.int64)
         below = np.cumsum(np.bincount(y, minlength=n_grades))[:-1]
@@ -108,16 +112,21 @@ class OrdinalModel:
         for step in range(1, steps + 1 if n else 0):
             w, first, gaps = x[: len(used)], x[len(used)], np.exp(x[len(used) + 1 :])
             theta = first + np.concatenate([[0.0], np.cumsum(gaps)])
-            score = np.bincount(row, w[col], minlength=n)
+            score = np.zeros(n)
+            for p in parts:
+                score += np.bincount(row[p], w[col[p]], minlength=n)
             s = _sigmoid(theta[None, :] - score[:, None])
             cdf = np.concatenate([np.zeros((n, 1)), s, np.ones((n, 1))], axis=1)
-            p = np.maximum(cdf[np.arange(n), y + 1] - cdf[np.arange(n), y], 1e-12)
+            mass = np.maximum(cdf[np.arange(n), y + 1] - cdf[np.arange(n), y], 1e-12)
             d = np.concatenate([np.zeros((n, 1)), s * (1 - s), np.zeros((n, 1))], axis=1)
-            up, low = d[np.arange(n), y + 1] / p, d[np.arange(n), y] / p  # of the log likelihood, by the upper and lower cut
+            up, low = d[np.arange(n), y + 1] / mass, d[np.arange(n), y] / mass  # of the log likelihood, by the upper and lower cut
             g_score = -(up - low)
             g_theta = np.array([up[y == k].sum() - low[y == k + 1].sum() for k in range(n_grades - 1)])
             g_gaps = np.cumsum(g_theta[::-1])[::-1]
-            g = np.concatenate([np.bincount(col, g_score[row], minlength=len(used)), g_gaps[:1], g_gaps[1:] * gaps]) / n
+            g_w = np.zeros(len(used))
+            for p in parts:
+                g_w += np.bincount(col[p], g_score[row[p]], minlength=len(used))
+            g = np.concatenate([g_w, g_gaps[:1], g_gaps[1:] * gaps]) / n
             g[: len(used)] -= decay * w
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             x = x + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-4)
@@ -160,12 +169,15 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.binary())], names=["id", "grade", "feats"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = picked.mapInArrow(work, f"id {kind}, grade int, feats binary").orderBy("id", "feats").collect()
-    ends = np.concatenate([[0], np.cumsum([len(r["feats"]) // 4 for r in rows])]).astype(np.int64)
-    feats = np.frombuffer(b"".join(r["feats"] for r in rows), np.int32)
-    grades = np.array([r["grade"] for r in rows], np.int64)
-    del rows
-    return OrdinalModel.fit(ends, feats, grades, n_grades, bits, **fit)
+    rows = picked.mapInArrow(work, f"id {kind}, grade int, feats binary").orderBy("id", "feats").select("grade", "feats").toArrow()
+    feats = rows.column("feats").combine_chunks()  # some MB: see `most`
+    feats = feats.chunk(0) if isinstance(feats, pa.ChunkedArray) and feats.num_chunks else feats
+    grades = rows.column("grade").to_numpy().astype(np.int64)
+    if not len(grades):
+        return OrdinalModel.fit(np.zeros(1, np.int64), np.zeros(0, np.int32), grades, n_grades, bits, **fit)
+    _, offsets, data = feats.buffers()
+    offsets = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(feats.type) else np.int32)[feats.offset : feats.offset + len(grades) + 1].astype(np.int64)
+    return OrdinalModel.fit((offsets - offsets[0]) // 4, np.frombuffer(data, np.int32)[offsets[0] // 4 : offsets[-1] // 4], grades, n_grades, bits, **fit)
 
 
 def scored(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", select: int = 2, least: float = 0.5) -> DataFrame:
