@@ -10,7 +10,7 @@ import pyarrow as pa
 from quernel.llm.common import per_process
 
 #: Bytes that are hashed at once; longer texts go in pieces cut at white space where there is any.
-PIECE = 1 << 21
+PIECE = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
