@@ -1,20 +1,25 @@
 """Kernel dependence (HSIC) and HSIC-lasso feature selection.
 
-Pair operators are quadratic in rows by definition; they work on a sample whose size, max_rows, is a parameter.
+Kernels are taken between all pairs of rows, so work is quadratic in distinct rows by definition. Rows are dealt to
+blocks, every task gets one pair of blocks, and only sums leave it; equal rows are one row with a weight.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.operators.aggregates import linear_hsic_column, long_form
 
-MAX_ROWS = 2000
+#: Rows of a block, on average.
+BLOCK = 4096
+#: Kernel values that a task holds at once.
+_HELD = 1 << 17
 
 
 def impute(df: DataFrame, columns: Sequence[str], how: str = "median") -> DataFrame:
@@ -40,49 +45,174 @@ def linear_hsic(df: DataFrame, columns: Sequence[str], y: str) -> DataFrame:
     return rows.groupBy("feature").agg(linear_hsic_column(F.col("value"), F.col("y")).alias("hsic"))
 
 
-def _numbered(df: DataFrame, columns: Sequence[str], max_rows: int, order: str | None, seed: int) -> DataFrame:
-    rows = df.select(*[F.col(c).cast("double").alias(f"v{k}") for k, c in enumerate(columns)], *([F.col(order).alias("o")] if order else []))
-    rows = rows.orderBy("o" if order else F.rand(seed)).limit(max_rows)  # the sample is the feature: see max_rows
-    return rows.select(F.array(*[f"v{k}" for k in range(len(columns))]).alias("v"), F.monotonically_increasing_id().alias("i"))
+def _rows(df: DataFrame, columns: Sequence[str], max_rows: int | None, order: str | None, seed: int) -> DataFrame:
+    """(v: the columns as an array, w: how many rows have it); rows with a null are left out. max_rows: of a sample."""
+    value = F.array(*[F.col(c).cast("double") for c in columns])
+    rows = df.select(value.alias("v"), *([F.col(order).alias("o")] if order else [])).where(~F.exists("v", lambda x: x.isNull()))
+    if max_rows is not None:
+        rows = rows.orderBy("o" if order else F.rand(seed)).limit(max_rows)  # a sample only where the caller asks for one
+    return rows.groupBy("v").agg(F.count("*").cast("double").alias("w"))
 
 
-def _gram(df: DataFrame, columns: Sequence[str], sigma: float | None, max_rows: int, order: str | None, seed: int) -> np.ndarray:
-    """HSIC of every pair of columns, as a matrix, with RBF kernels (sigma None: median heuristic)."""
-    rows = np.array([r["v"] for r in _numbered(df, columns, max_rows, order, seed).collect()], np.float64)  # at most max_rows rows
-    n = len(rows)
-    if n < 2:
-        return np.zeros((len(columns),) * 2)
-    centred = []
-    for k in range(len(columns)):
-        d2 = (rows[:, k, None] - rows[None, :, k]) ** 2
-        s2 = sigma**2 if sigma else max(float(np.median(d2[np.triu_indices(n, 1)])), 1e-12)
-        kern = np.exp(-d2 / (2 * s2))
-        centred.append(kern - kern.mean(0) - kern.mean(1)[:, None] + kern.mean())
-    return np.array([[float((a * b).sum()) / (n - 1) ** 2 for b in centred] for a in centred])
+def _block_pairs(rows: DataFrame, block: int) -> DataFrame:
+    """(i, j, side, v, w): every row once for each pair i <= j of blocks that its own block is in."""
+    blocks = max(1, -(-rows.count() // block))
+    own = F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int")
+    dealt = rows.select("v", "w", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    return dealt.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"), "v", "w")
 
 
-def rbf_hsic(df: DataFrame, x: str, y: str, id_col: str, sigma_x: float | None = None, sigma_y: float | None = None) -> DataFrame:
-    """hsic with RBF kernels over all rows of df, as a self join streamed into aggregates; the Gram matrix is never kept.
+def _two_sides(key, table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
+    """(values by column and row, weights) of both blocks of a pair, and whether they are the same block."""
+    x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1).T
+    w, side = table.column("w").to_numpy(), table.column("side").to_numpy(zero_copy_only=False).astype(bool)
+    same = key[0].as_py() == key[1].as_py()
+    a = np.ascontiguousarray(x if same else x[:, ~side])
+    return (a, w, a, w, True) if same else (a, w[~side], np.ascontiguousarray(x[:, side]), w[side], False)
+
+
+def _median_squares(pairs: DataFrame, p: int, n: float) -> np.ndarray:
+    """For each column the median squared distance of all pairs of different rows.
+
+    Squares are sorted by their bits: pass by pass, 11 bits more of the two middle values are found from counts, so only
+    2048 counts a column and middle value leave the blocks.
+    """
+    total = int(n) * (int(n) - 1)  # ordered pairs: every unordered one twice
+    rank = np.array([[2 * ((total // 2 - 1) // 2), 2 * (total // 4)]] * p, np.int64)
+    prefix = np.zeros((p, 2), np.uint64)
+    for shift, width in ((53, 11), (42, 11), (31, 11), (20, 11), (9, 11), (0, 9)):
+        known = prefix.copy()
+
+        def count(key, table):  # used up inside this pass
+            xa, wa, xb, wb, same = _two_sides(key, table)
+            hist = np.zeros((p, 2, 1 << width))
+            step = max(1, _HELD // max(1, len(wb)))
+            for at in range(0, len(wa), step):
+                rows = np.arange(at, min(at + step, len(wa)))
+                weight = wa[rows, None] * wb[None, :] * (1 if same else 2)
+                if same:
+                    weight[np.arange(len(rows)), rows] -= wa[rows]  # a row is no pair with itself
+                for f in range(p):
+                    bits = ((xa[f, rows, None] - xb[f, None, :]) ** 2).view(np.uint64).ravel()
+                    for t in range(2):
+                        if t and known[f, 1] == known[f, 0]:
+                            continue  # counted once for both
+                        hit = np.flatnonzero((bits >> np.uint64(shift + width)) == known[f, t]) if shift + width < 64 else slice(None)
+                        digit = (bits[hit] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+                        hist[f, t] += np.bincount(digit.view(np.int64), weight.ravel()[hit], 1 << width)
+            f, t, digit = np.nonzero(hist)
+            return pa.table([pa.array(f), pa.array(t), pa.array(digit), pa.array(hist[f, t, digit].astype(np.int64))], names=["f", "t", "digit", "n"])
+
+        hist = np.zeros((p, 2, 1 << width), np.int64)
+        for r in pairs.groupBy("i", "j").applyInArrow(count, "f long, t long, digit long, n long").groupBy("f", "t", "digit").agg(F.sum("n").alias("n")).collect():
+            hist[r["f"], r["t"], r["digit"]] = r["n"]
+        alike = prefix[:, 0] == prefix[:, 1]
+        hist[alike, 1] = hist[alike, 0]
+        for f in range(p):
+            for t in range(2):
+                upto = np.cumsum(hist[f, t])
+                digit = int(np.searchsorted(upto, rank[f, t], "right"))
+                rank[f, t] -= upto[digit] - hist[f, t, digit]
+                prefix[f, t] = (prefix[f, t] << np.uint64(width)) | np.uint64(digit)
+    return prefix.view(np.float64).mean(axis=1)
+
+
+def _kernel_sums(pairs: DataFrame, s2: np.ndarray) -> DataFrame:
+    """Per block pair: (v, w, k: kernel sums with the other block) for its rows, and a row without v whose k is the
+    matrix of sums of products of two columns' kernels."""
+    p, scale = len(s2), -0.5 / np.asarray(s2, np.float64)
+
+    def work(key, table):
+        xa, wa, xb, wb, same = _two_sides(key, table)
+        ka, kb, cross = np.zeros(xa.shape), np.zeros(xb.shape), np.zeros((p, p))
+        step = max(1, _HELD // max(1, len(wb) * p))
+        for at in range(0, len(wa), step):
+            part = slice(at, at + step)
+            k = xa[:, part, None] - xb[:, None, :]
+            np.exp(k * k * scale[:, None, None], out=k)
+            ka[:, part] = k @ wb
+            weighted = k * wa[part, None]
+            if not same:
+                kb += weighted.sum(axis=1)
+            cross += k.reshape(p, -1) @ (weighted * wb).reshape(p, -1).T
+        rows = [(x, w, k) for x, w, k in ((xa, wa, ka), *(() if same else ((xb, wb, kb),)))]
+        v = [*np.concatenate([x.T for x, _, _ in rows]).tolist(), None]
+        k = [*np.concatenate([k.T for _, _, k in rows]).tolist(), (cross if same else 2 * cross).ravel().tolist()]
+        w = [*np.concatenate([w for _, w, _ in rows]).tolist(), 0.0]
+        kind = pa.list_(pa.float64())
+        return pa.table([pa.array(v, kind), pa.array(w, pa.float64()), pa.array(k, kind)], names=["v", "w", "k"])
+
+    return pairs.groupBy("i", "j").applyInArrow(work, "v array<double>, w double, k array<double>")
+
+
+def _row_sums(parts: DataFrame, p: int) -> DataFrame:
+    """(v, w, k): for each distinct row its kernel sums with all rows."""
+    sums = [F.sum(F.get("k", F.lit(f))).alias(f"k{f}") for f in range(p)]
+    return parts.where("v is not null").groupBy("v").agg(F.first("w").alias("w"), *sums).select("v", "w", F.array(*[f"k{f}" for f in range(p)]).alias("k"))
+
+
+def _summed(arrays: DataFrame, column: str, size: int) -> np.ndarray:
+    """Elementwise sums of arrays of `size` doubles."""
+    out = np.zeros(size)
+    for r in arrays.select(F.posexplode(column).alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect():  # `size` rows
+        out[r["at"]] = r["x"]
+    return out
+
+
+def kernel_row_sums(df: DataFrame, columns: Sequence[str], variances: Sequence[float], block: int = BLOCK) -> DataFrame:
+    """(v, w, k): for each distinct row v of `columns`, held by w rows, the sums k of RBF kernels with all rows."""
+    pairs = _block_pairs(_rows(df, columns, None, None, 0), block)
+    return _row_sums(_kernel_sums(pairs, np.asarray(variances, np.float64)), len(columns))
+
+
+def _gram(df: DataFrame, columns: Sequence[str], sigmas: Sequence[float | None], max_rows: int | None = None, order: str | None = None, seed: int = 42, block: int = BLOCK) -> np.ndarray | None:
+    """HSIC of every pair of columns, as a matrix, with RBF kernels; None for less than two rows.
+
+    A sigma of None is the square root of the median squared distance of pairs. Only sums leave the blocks.
+    """
+    p = len(columns)
+    rows = _rows(df, columns, max_rows, order, seed).persist()  # read once a pass
+    try:
+        n = float(rows.agg(F.sum("w")).first()[0] or 0.0)
+        if n < 2:
+            return None
+        pairs = _block_pairs(rows, block)
+        s2 = np.array([s**2 if s else np.nan for s in sigmas], np.float64)
+        if np.isnan(s2).any():
+            s2 = np.where(np.isnan(s2), np.maximum(_median_squares(pairs, p, n), 1e-12), s2)
+        parts = _kernel_sums(pairs, s2).persist()
+        try:
+            cross = _summed(parts.where("v is null"), "k", p * p).reshape(p, p)
+
+            def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    w, k = b.column(0).to_numpy(), b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, p)
+                    sums = np.concatenate([(k.T @ (k * w[:, None])).ravel(), w @ k])
+                    yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()], pa.list_(pa.float64()))], names=["s"])
+
+            sums = _summed(_row_sums(parts, p).select("w", "k").mapInArrow(products, "s array<double>"), "s", p * p + p)
+        finally:
+            parts.unpersist()
+    finally:
+        rows.unpersist()
+    within, whole = sums[: p * p].reshape(p, p), sums[p * p :]
+    return (cross - 2 / n * within + np.outer(whole, whole) / (n * n)) / ((n - 1) * (n - 1))
+
+
+def rbf_hsic(df: DataFrame, x: str, y: str, sigma_x: float | None = None, sigma_y: float | None = None) -> DataFrame:
+    """hsic with RBF kernels over all rows of df without nulls; null for less than two.
 
     A sigma of None is the square root of the median squared distance of pairs.
     """
-    a = df.select(F.col(id_col).alias("i"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    b = a.toDF("j", "x2", "y2")
-    pairs = a.crossJoin(b).withColumns({"dx": (F.col("x") - F.col("x2")) ** 2, "dy": (F.col("y") - F.col("y2")) ** 2})
-    sig = pairs.where("i < j").agg(F.greatest(F.percentile("dx", 0.5), F.lit(1e-12)).alias("sx"), F.greatest(F.percentile("dy", 0.5), F.lit(1e-12)).alias("sy")).first() if sigma_x is None or sigma_y is None else None
-    sx = sigma_x**2 if sigma_x is not None else sig["sx"]
-    sy = sigma_y**2 if sigma_y is not None else sig["sy"]
-    k, l = F.exp(-F.col("dx") / (2 * sx)), F.exp(-F.col("dy") / (2 * sy))
-    rows = pairs.select("i", k.alias("k"), l.alias("l")).groupBy("i").agg(F.sum("k").alias("k"), F.sum("l").alias("l"), F.sum(F.col("k") * F.col("l")).alias("kl"))
-    s = rows.agg(F.count("*").cast("double").alias("n"), F.sum("kl").alias("kl"), F.sum(F.col("k") * F.col("l")).alias("d"), F.sum("k").alias("ks"), F.sum("l").alias("ls"))
-    n = F.col("n")
-    return s.select(((F.col("kl") - 2 / n * F.col("d") + F.col("ks") * F.col("ls") / (n * n)) / ((n - 1) * (n - 1))).alias("hsic"))
-
-
-def relevance(df: DataFrame, columns: Sequence[str], y: str, top_k: int = 100, min_hsic: float = 0.0, sigma: float | None = None, max_rows: int = MAX_ROWS, order: str | None = None, seed: int = 42, imputation: str = "median") -> list[tuple[str, float]]:
+    g = _gram(df, [x, y], [sigma_x, sigma_y])
+    return df.sparkSession.createDataFrame([(None if g is None else float(g[0, 1]),)], "hsic double")
+
+
+def relevance(df: DataFrame, columns: Sequence[str], y: str, top_k: int = 100, min_hsic: float = 0.0, sigma: float | None = None, max_rows: int | None = None, order: str | None = None, seed: int = 42, imputation: str = "median") -> list[tuple[str, float]]:
     """(feature, hsic) by falling dependence on y; constants have 0; min_hsic counts only if above 0."""
     clean = standardized(impute(df, [*columns, y], imputation), [*columns, y])
-    values = _gram(clean, [*columns, y], sigma, max_rows, order, seed)[:-1, -1]
+    g = _gram(clean, [*columns, y], [sigma] * (len(columns) + 1), max_rows, order, seed)
+    values = np.zeros(len(columns)) if g is None else g[:-1, -1]
     ranked = sorted(zip(columns, values.tolist(), strict=True), key=lambda p: (-p[1], p[0]))
     return [(c, v) for c, v in ranked if not (min_hsic > 0 and v < min_hsic)][:top_k]
 
@@ -114,7 +244,7 @@ class HSICLasso:
     path: int = 14
     steps: int = 800
     sigma: float | None = None
-    max_rows: int = MAX_ROWS
+    max_rows: int | None = None
     order: str | None = None
     seed: int = 42
     imputation: str = "median"
@@ -123,7 +253,8 @@ class HSICLasso:
 
     def fit(self, df: DataFrame, columns: Sequence[str], y: str) -> HSICLasso:
         clean = standardized(impute(df, [*columns, y], self.imputation), [*columns, y])
-        g = _gram(clean, [*columns, y], self.sigma, self.max_rows, self.order, self.seed)
+        g = _gram(clean, [*columns, y], [self.sigma] * (len(columns) + 1), self.max_rows, self.order, self.seed)
+        g = np.zeros((len(columns) + 1,) * 2) if g is None else g
         a, r = g[:-1, -1], g[:-1, :-1]
         if self.lam is not None:
             b = nonnegative_lasso(a, r, self.lam, self.steps)

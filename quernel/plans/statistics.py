@@ -144,7 +144,7 @@ _RBF = "(SELECT s_suppkey AS i, s_acctbal / 1000 AS x, s_nationkey::DOUBLE AS y
 SELECT round((sum(kl) - 2.0::DOUBLE / count(*) * sum(k * l) + sum(k) * sum(l) / (count(*)::DOUBLE * count(*))) / ((count(*) - 1)::DOUBLE * (count(*) - 1)), 8) AS hsic FROM s""")
 def h2(spark, d):
     s = table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1000).alias("x"), F.col("s_nationkey").cast("double").alias("y"))
-    return rounded(H.rbf_hsic(s, "x", "y", "s_suppkey", 2.0, 5.0), 8)
+    return rounded(H.rbf_hsic(s, "x", "y", 2.0, 5.0), 8)
 
 
 @query("h2_rbf_hsic_median", f"""WITH a AS {_RBF}, d AS (SELECT a.i, b.i AS j, (a.x - b.x) ** 2 AS dx, (a.y - b.y) ** 2 AS dy FROM a, a b), m AS (SELECT greatest(quantile_cont(dx, 0.5), 1e-12) AS sx, greatest(quantile_cont(dy, 0.5), 1e-12) AS sy FROM d WHERE i < j),
@@ -152,7 +152,7 @@ s AS (SELECT i, sum(exp(-dx / (2 * sx))) AS k, sum(exp(-dy / (2 * sy))) AS l, su
 SELECT round((sum(kl) - 2.0::DOUBLE / count(*) * sum(k * l) + sum(k) * sum(l) / (count(*)::DOUBLE * count(*))) / ((count(*) - 1)::DOUBLE * (count(*) - 1)), 8) AS hsic FROM s""")
 def h2b(spark, d):
     s = table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1000).alias("x"), F.col("s_nationkey").cast("double").alias("y"))
-    return rounded(H.rbf_hsic(s, "x", "y", "s_suppkey"), 8)
+    return rounded(H.rbf_hsic(s, "x", "y"), 8)
 
 
 @query("h3_impute_standardize", """WITH a AS (SELECT p_partkey, coalesce(CASE WHEN p_size <= 40 THEN p_size END, (SELECT quantile_cont(p_size, 0.5) FROM part WHERE p_size <= 40))::DOUBLE AS x FROM part)
@@ -162,26 +162,37 @@ def h3(spark, d):
     return H.standardized(H.impute(p, ["x"]), ["x"]).select("p_partkey", r("x").alias("x"))
 
 
-@query("h4_hsic_relevance")
+_Z = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}" for c in ("p_size", "p_partkey", "p_retailprice"))
+_D2 = "SELECT a.i, b.i AS j, (a.p_size - b.p_size) ** 2 AS d0, (a.p_partkey - b.p_partkey) ** 2 AS d1, (a.p_retailprice - b.p_retailprice) ** 2 AS dy FROM z a, z b"
+
+
+@query("h4_hsic_relevance", f"""WITH z AS (SELECT p_partkey AS i, {_Z} FROM part), d AS ({_D2}), m AS (SELECT quantile_cont(d0, 0.5) AS s0, quantile_cont(d1, 0.5) AS s1, quantile_cont(dy, 0.5) AS sy FROM d WHERE i < j),
+k AS (SELECT i, exp(-d0 / (2 * s0)) AS k0, exp(-d1 / (2 * s1)) AS k1, exp(-dy / (2 * sy)) AS l FROM d, m),
+s AS (SELECT i, sum(k0) AS k0, sum(k1) AS k1, sum(l) AS l, sum(k0 * l) AS kl0, sum(k1 * l) AS kl1 FROM k GROUP BY 1), t AS (SELECT count(*)::DOUBLE AS n FROM s)
+SELECT 'p_size' AS feature, round((sum(kl0) - 2 / any_value(n) * sum(k0 * l) + sum(k0) * sum(l) / any_value(n * n)) / any_value((n - 1) * (n - 1)), 6) AS hsic FROM s, t
+UNION ALL SELECT 'p_partkey', round((sum(kl1) - 2 / any_value(n) * sum(k1 * l) + sum(k1) * sum(l) / any_value(n * n)) / any_value((n - 1) * (n - 1)), 6) FROM s, t""")
 def h4(spark, d):
-    got = H.relevance(table(spark, d, "part"), ["p_size", "p_partkey"], "p_retailprice", max_rows=500, order="p_partkey")
+    got = H.relevance(table(spark, d, "part"), ["p_size", "p_partkey"], "p_retailprice")
     return spark.createDataFrame(got, "feature string, hsic double").select("feature", r("hsic").alias("hsic"))
 
 
+_LASSO = ["p_size", "p_partkey", "brand", "name_length"]
+
+
 def _lasso_frame(spark, d):
-    li = table(spark, d, "lineitem")
-    return li.select("l_orderkey", "l_quantity", "l_discount", "l_tax", "l_partkey", "l_extendedprice")
+    part = table(spark, d, "part")
+    return part.select("p_size", "p_partkey", F.regexp_extract("p_brand", "[0-9]+", 0).cast("int").alias("brand"), F.length("p_name").alias("name_length"), "p_retailprice")
 
 
 @query("h5_hsic_lasso")
 def h5(spark, d):
-    m = H.HSICLasso(max_rows=500, order="l_orderkey").fit(_lasso_frame(spark, d), ["l_quantity", "l_discount", "l_tax", "l_partkey"], "l_extendedprice")
+    m = H.HSICLasso().fit(_lasso_frame(spark, d), _LASSO, "p_retailprice")
     return spark.createDataFrame([(c, b, c in m.selected) for c, b in m.coefficients.items()], "feature string, coefficient double, selected boolean")
 
 
 @query("h6_hsic_lasso_path")
 def h6(spark, d):
-    m = H.HSICLasso(lam=None, target=(1, 2), max_rows=500, order="l_orderkey").fit(_lasso_frame(spark, d), ["l_quantity", "l_discount", "l_tax", "l_partkey"], "l_extendedprice")
+    m = H.HSICLasso(lam=None, target=(1, 2)).fit(_lasso_frame(spark, d), _LASSO, "p_retailprice")
     return spark.createDataFrame([(c, b, c in m.selected) for c, b in m.coefficients.items()], "feature string, coefficient double, selected boolean")
 
 

@@ -209,6 +209,31 @@ def test_hsic(spark, frame):
     assert set(H.HSICLasso(max_rows=200, order="timestamp")(frame, ["temperature", "vibration"], "target_main", lam=1e9)["selected"]) == set()
 
 
+def test_hsic_in_blocks_against_whole_matrices(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.standard_normal((90, 3)), 1)
+    x[:, 2] = x[:, 0] ** 2
+    x = np.concatenate([x, x[:25], x[:5]])  # repeated rows
+    df = spark.createDataFrame([(*map(float, r),) for r in x] + [(None, 1.0, 1.0)], "a double, b double, c double")
+    n = len(x)
+    h = np.eye(n) - 1 / n
+    kernels = []
+    for k in range(3):
+        d2 = (x[:, k, None] - x[None, :, k]) ** 2
+        kernels.append(h @ np.exp(-d2 / (2 * np.median(d2[np.triu_indices(n, 1)]))) @ h)
+    want = np.array([[np.trace(p @ q) / (n - 1) ** 2 for q in kernels] for p in kernels])
+    for block in (16, 4096):
+        got = H._gram(df, ["a", "b", "c"], [None] * 3, block=block)
+        assert np.allclose(got, want, rtol=1e-9, atol=1e-12)
+    assert np.isclose(H.rbf_hsic(df, "a", "c").first()[0], want[0, 2])
+    assert H.rbf_hsic(df.limit(0), "a", "c").first()[0] is None
+    even = np.median(np.concatenate([np.subtract.outer(v, v)[np.triu_indices(4, 1)] ** 2 for v in [np.array([0.0, 1.0, 4.0, 9.0])]]))
+    four = H._rows(spark.createDataFrame([(0.0,), (1.0,), (4.0,), (9.0,)], "a double"), ["a"], None, None, 0)
+    assert H._median_squares(H._block_pairs(four, 2), 1, 4.0)[0] == even
+    constant = spark.createDataFrame([(1.0, float(k)) for k in range(5)], "a double, b double")
+    assert H.relevance(constant, ["a"], "b") == [("a", 0.0)]
+
+
 def test_rules_and_logistic(frame):
     df = frame.withColumn("hot", (F.col("temperature") > 21).cast("int"))
     assert X.rules(df, ["temperature", "pressure"], "hot", trees=3, depth=2).count() > 0
