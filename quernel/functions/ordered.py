@@ -1,7 +1,8 @@
 """Running sums and positions over a total order, without one task that gets all rows.
 
 Values are cut into ranges at approximate quantiles; each range is summed by itself, and only one total per range meets
-in one place. The order needs a numeric or time column first; rows that tie on it share a range.
+in one place. The order needs a number, time or text column first; rows that tie on it share a range (texts: on the
+first bytes that are not common to all). Null groups are groups like any other.
 """
 
 from __future__ import annotations
@@ -16,8 +17,14 @@ RANGES = 256
 
 
 def as_number(df: DataFrame, name: str) -> Column:
-    """An order-preserving double for a number or time column."""
+    """An order-preserving double for a number, time or text column."""
     kind = df.schema[name].dataType.simpleString()
+    if kind == "string":
+        ends = df.agg(F.min(name), F.max(name)).first()
+        low, high = ((e or "").encode("utf-8", "surrogatepass") for e in ends)
+        common = next((i for i, (a, b) in enumerate(zip(low, high, strict=False)) if a != b), min(len(low), len(high)))
+        head = F.rpad(F.hex(F.substring(F.encode(F.col(name), "UTF-8"), common + 1, 6)), 12, "0")  # six bytes: exact in a double
+        return F.conv(head, 16, 10).cast("double")
     if kind == "timestamp_ntz":
         return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
     if kind == "timestamp":
@@ -35,7 +42,7 @@ def running(df: DataFrame, order: Sequence[str], sums: Mapping[str, Column], by:
     cuts = [i / ranges for i in range(1, ranges)]
     breaks = (df.groupBy(*by) if by else df).agg(F.percentile_approx(value, F.array(*[F.lit(c) for c in cuts]), F.lit(1000)).alias("_breaks"))
     # one row for each group; Spark broadcasts it if it is small
-    placed = df.join(breaks, by) if by else df.crossJoin(F.broadcast(breaks))
+    placed = match(df, breaks, by) if by else df.crossJoin(F.broadcast(breaks))
     placed = placed.withColumn("_range", F.coalesce(F.size(F.filter("_breaks", lambda b: b < value)), F.lit(0))).drop("_breaks")
     parts = {f"_part_{k}": c for k, c in sums.items()}
     placed = placed.withColumns(parts)
@@ -43,7 +50,7 @@ def running(df: DataFrame, order: Sequence[str], sums: Mapping[str, Column], by:
     ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*by, "_range", *[F.coalesce(F.sum(f"{p}_all").over(ahead), F.lit(0)).alias(f"{p}_before") for p in parts])
     inside = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = placed.join(totals, [*by, "_range"])
+    out = match(placed, totals, [*by, "_range"])
     out = out.withColumns({k: F.col(f"_part_{k}_before") + F.sum(f"_part_{k}").over(inside) for k in sums})
     return out.select(*df.columns, *sums)
 
@@ -59,4 +66,43 @@ def average_ranks(df: DataFrame, value: str, name: str, by: Sequence[str] = ())
     counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
     ranked = running(counts, [value], {"_upto": F.col("_n")}, by)
     ranked = ranked.select(*by, value, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name))
-    return df.join(ranked, [*by, value])
+    return match(df, ranked, [*by, value])
+
+
+def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """The join on `keys`, where null equals null; the keys once, those of `left`."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = [left[k].eqNullSafe(named[f"_right_{k}"]) for k in keys]
+    return left.join(named, on, how).drop(*[f"_right_{k}" for k in keys])
+
+
+def exact_quantiles(df: DataFrame, value: str, at: Sequence[float], by: Sequence[str] = (), name: str = "q") -> DataFrame:
+    """by.. and `name`: exact quantiles of the non-null values, with linear interpolation, as an array in the order of `at`.
+
+    Equal values are counted, running counts are found in ranges, and only values at the wanted ranks go on, so no task
+    holds all distinct values. Without values there is no row for a group, or one row with a null where `by` is empty.
+    """
+    by = list(by)
+    counts = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null").groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+    ranked = running(counts, ["_v"], {"_upto": F.col("_n")}, by)
+    totals = (counts.groupBy(*by) if by else counts).agg(F.sum("_n").alias("_all"))  # one row for each group
+    ranked = match(ranked, totals, by) if by else ranked.crossJoin(F.broadcast(totals))
+    place = [F.lit(float(a)) * (F.col("_all") - 1) for a in at]
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto")), F.col("_v")))
+
+    ends = [e for k, x in enumerate(place) for e in (value_at(F.floor(x)).alias(f"_low{k}"), value_at(F.ceil(x)).alias(f"_high{k}"), F.max(x - F.floor(x)).alias(f"_part{k}"))]
+    found = (ranked.groupBy(*by) if by else ranked).agg(*ends)
+    low, high, part = ([F.col(f"_{x}{k}") for k in range(len(place))] for x in ("low", "high", "part"))
+    mid = [F.when(a == b, a).otherwise(a + (b - a) * c) for a, b, c in zip(low, high, part, strict=True)]
+    q = F.array(*mid)
+    return found.select(*by, (q if by else F.when(F.col("_low0").isNotNull(), q)).alias(name))
+
+
+def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
+    """The exact median of each column."""
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
+    rows = df.select(F.explode(cells).alias("_c")).select("_c.feature", "_c.value")
+    got = {r["feature"]: r["q"][0] for r in exact_quantiles(rows, "value", [0.5], ["feature"]).collect()}  # one row a column
+    return {c: got.get(c) for c in columns}

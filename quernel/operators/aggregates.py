@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernel.functions.ordered import exact_quantiles, match
 
 def long_form(df: DataFrame, columns: Sequence[str], kind: str = "string", keep: Sequence[str] = ()) -> DataFrame:
     """(keep.., feature, value): one row per column, so that one aggregate serves all columns."""
@@ -21,8 +22,7 @@ def column_survey(df: DataFrame, columns: Sequence[str], rare_below: float = 0.0
     rare_below) and most_common_freq.
     """
     counts = long_form(df, columns).groupBy("feature", "value").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("feature"))
-    counts = counts.withColumn("share", F.col("n") / total)
+    counts = counts.crossJoin(F.broadcast(df.agg(F.count("*").alias("total")))).withColumn("share", F.col("n") / F.col("total"))  # one row
     return counts.groupBy("feature").agg(
         F.count("value").alias("cardinality"),
         (F.count("value") / F.sum("n")).alias("unique_ratio"),
@@ -35,7 +35,8 @@ def column_survey(df: DataFrame, columns: Sequence[str], rare_below: float = 0.0
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """value, n, share; null is a value."""
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    total = df.agg(F.count("*").alias("total"))
+    return counts.crossJoin(F.broadcast(total)).select("value", "n", (F.col("n") / F.col("total")).alias("share"))  # total: one row
 
 
 def group_stats(df: DataFrame, group: str, target: str) -> DataFrame:
@@ -56,8 +57,10 @@ def group_coverage(splits: dict[str, DataFrame], group: str) -> DataFrame:
     for p in parts[1:]:
         rows = rows.unionByName(p)
     counts = rows.groupBy("group", "split").agg(F.count("*").alias("count"))
-    share = F.bround(F.col("count") / F.sum("count").over(Window.partitionBy("split")), 4)
-    return counts.withColumn("share", share).orderBy("split", F.desc("share"), "group")
+    totals = rows.groupBy("split").agg(F.count("*").alias("total"))
+    counts = counts.join(F.broadcast(totals), "split")  # one row for each of `splits`
+    share = F.bround(F.col("count") / F.col("total"), 4)
+    return counts.select("group", "split", "count", share.alias("share")).orderBy("split", F.desc("share"), "group")
 
 
 def time_buckets(df: DataFrame, ts: str, value: str, days: int = 7) -> DataFrame:
@@ -93,7 +96,7 @@ def histogram(df: DataFrame, value: str, breaks: Sequence[float], density: bool
 
 def quantiles(df: DataFrame, columns: Sequence[str], at: Sequence[float]) -> DataFrame:
     """feature and q: exact quantiles by linear interpolation."""
-    return long_form(df, columns, "double").groupBy("feature").agg(F.percentile("value", F.array(*[F.lit(float(a)) for a in at])).alias("q"))
+    return exact_quantiles(long_form(df, columns, "double"), "value", at, ["feature"])
 
 
 def column_ranges(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -108,7 +111,9 @@ def largest_groups(df: DataFrame, group: str, n: int = 4) -> DataFrame:
 def describe_importance(df: DataFrame, feature: str, importance: str) -> DataFrame:
     """feature, mean, median, min, max, std (population) of repeated importances."""
     x = F.col(importance)
-    return df.groupBy(F.col(feature).alias("feature")).agg(F.avg(x).alias("mean"), F.percentile(x, 0.5).alias("median"), F.min(x).alias("min"), F.max(x).alias("max"), F.stddev_pop(x).alias("std"))
+    out = df.groupBy(F.col(feature).alias("feature")).agg(F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"), F.stddev_pop(x).alias("std"))
+    middle = exact_quantiles(df.select(F.col(feature).alias("feature"), x.alias("value")), "value", [0.5], ["feature"])
+    return match(out, middle, ["feature"], "left").select("feature", "mean", F.get("q", F.lit(0)).alias("median"), "min", "max", "std")
 
 
 def mean_abs(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernel.functions.ordered import running
+from quernel.functions.ordered import exact_quantiles, running
 from quernel.functions.scalars import fingerprint
 from quernel.operators.aggregates import long_form
 
@@ -65,9 +65,8 @@ def psi_numeric(ref: DataFrame, cmp: DataFrame, columns: Sequence[str], bins: in
     With fewer than two distinct quantiles: equal bins on [min, max + 1e-6].
     """
     rows = _both(ref, cmp, columns, "double")
-    at = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    q = rows.where("side = 0").groupBy("feature").agg(F.percentile("value", at).alias("q"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    q = q.withColumn("q", F.array_distinct("q"))
+    q = exact_quantiles(rows.where("side = 0"), "value", [i / bins for i in range(bins + 1)], ["feature"])
+    q = q.select("feature", F.array_distinct("q").alias("q"), F.element_at("q", 1).alias("lo"), F.element_at("q", -1).alias("hi"))
     step = (F.col("hi") + 1e-6 - F.col("lo")) / bins
     even = F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: F.col("lo") + i * step)
     q = q.select("feature", F.when(F.size("q") < 2, even).otherwise(F.col("q")).alias("edges")).withColumn("n_bins", F.size("edges") - 1)
@@ -109,10 +108,10 @@ def categorical(ref: DataFrame, cmp: DataFrame, columns: Sequence[str]) -> DataF
     """feature, psi, js, tv over the reference's categories; js is the symmetric Kullback-Leibler divergence, which may be infinite."""
     rows = _both(ref, cmp, columns, "string")
     counts = rows.groupBy("feature", "value").agg(F.sum((F.col("side") == 0).cast("double")).alias("a"), F.sum((F.col("side") == 1).cast("double")).alias("b"))
-    by = _ANY("feature")
-    shares = counts.select("feature", "a", (F.col("a") / F.sum("a").over(by)).alias("p"), (F.col("b") / F.sum("b").over(by)).alias("q")).where("a > 0 and q is not null")
-    shares = shares.withColumn("r", F.col("q") / F.sum("q").over(by))
-    p, q, r = F.col("p"), F.col("q"), F.col("r")
+    known = F.when(F.col("a") > 0, F.col("b"))
+    totals = counts.groupBy("feature").agg(F.sum("a").alias("all_a"), F.sum("b").alias("all_b"), F.sum(known).alias("known_b"))
+    shares = counts.join(F.broadcast(totals), "feature").where("a > 0 and all_b > 0")  # one row for each of `columns`
+    p, q, r = F.col("a") / F.col("all_a"), F.col("b") / F.col("all_b"), F.try_divide("b", "known_b")
     forward = F.when(r == 0, F.lit(float("inf"))).otherwise(p * F.log(p / r))
     back = F.when(r == 0, 0.0).otherwise(r * F.log(r / p))
     return shares.groupBy("feature").agg(F.sum((p - q) * F.log((p + 1e-9) / (q + 1e-9))).alias("psi"), F.sum(forward + back).alias("js"), (F.sum(F.abs(p - q)) / 2).alias("tv"))

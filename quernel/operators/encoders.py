@@ -13,11 +13,11 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernel.functions.ordered import running
+from quernel.functions.ordered import positions, running
 from quernel.operators.aggregates import column_survey
 
 NULL_TOKEN = "__nan__"
@@ -60,7 +60,7 @@ def register_encoder(name: str, fit: Fit | None = None, needs_target: bool = Fal
 def _cats(rows: DataFrame) -> DataFrame:
     """category, n, idx: non-null categories in sorted order from 0."""
     c = rows.where("category is not null").groupBy("category").agg(F.count("*").alias("n"))
-    return c.withColumn("idx", F.row_number().over(Window.partitionBy().orderBy("category")) - 1)
+    return positions(c, ["category"], "idx").withColumn("idx", F.col("idx") - 1)
 
 
 def _sorted_values(rows: DataFrame, most: int = 100_000) -> list[str]:

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernel.functions.ordered import medians
 from quernel.operators.aggregates import linear_hsic_column, long_form
 
 #: Rows of a block, on average.
@@ -29,7 +30,7 @@ def impute(df: DataFrame, columns: Sequence[str], how: str = "median") -> DataFr
         return clean.na.fill(0.0, list(columns))
     if how not in ("median", "mean"):
         raise ValueError(f"unknown imputation: {how}")
-    fill = clean.agg(*[(F.percentile(c, 0.5) if how == "median" else F.avg(c)).alias(c) for c in columns]).first()
+    fill = medians(clean, columns) if how == "median" else clean.agg(*[F.avg(c).alias(c) for c in columns]).first()
     return clean.na.fill({c: fill[c] for c in columns if fill[c] is not None})
 
 

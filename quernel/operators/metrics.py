@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.functions.ordered import average_ranks, running
+from quernel.functions.ordered import average_ranks, exact_quantiles, match, running
 
 Metric = Callable[[Column, Column], Column]
 METRICS: dict[str, Metric] = {}
@@ -59,7 +59,13 @@ def evaluate(df: DataFrame, target: str, prediction: str, names: Sequence[str] =
         raise KeyError(f"no such metric: {', '.join(unknown)}; there are {', '.join(sorted(METRICS))}")
     y, p = F.col(target).cast("double"), F.col(prediction).cast("double")
     rows = df.where(y.isNotNull() & p.isNotNull())
-    return (rows.groupBy(*by) if by else rows).agg(*[METRICS[n](y, p).alias(n) for n in names])
+    plain = [METRICS[n](y, p).alias(n) for n in names if METRICS[n] is not _medae]
+    out = (rows.groupBy(*by) if by else rows).agg(*plain) if plain else None
+    if len(plain) < len(names):  # a median needs an order, not an aggregate that keeps all distinct values
+        name = next(n for n in names if METRICS[n] is _medae)
+        medae = exact_quantiles(rows.select(*by, F.abs(y - p).alias("_e")), "_e", [0.5], by).select(*by, F.get("q", F.lit(0)).alias(name))
+        out = medae if out is None else match(out, medae, by) if by else out.crossJoin(F.broadcast(medae))  # one row each
+    return out.select(*by, *names)
 
 
 def confusion(df: DataFrame, target: str, predicted: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quernel.functions.ordered import exact_quantiles, medians
 from quernel.operators.aggregates import long_form
 from quernel.operators.splits import kfold_labels
 
@@ -74,8 +75,7 @@ def oof_mapping(df: DataFrame, column: str, target: str, fold: str) -> DataFrame
 
 def medians_and_iqr(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
     """Exact medians and interquartile ranges (0 becomes 1)."""
-    at = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    got = {r["feature"]: r["q"] for r in long_form(df, columns, "double").groupBy("feature").agg(F.percentile("value", at).alias("q")).collect()}
+    got = {r["feature"]: r["q"] for r in exact_quantiles(long_form(df, columns, "double"), "value", [0.25, 0.5, 0.75], ["feature"]).collect()}
     return {c: ((q := got.get(c) or [0.0, 0.0, 0.0])[1], (q[2] - q[0]) or 1.0) for c in columns}
 
 
@@ -112,7 +112,7 @@ class Scaler:
 
 def impute_and_standardize(df: DataFrame, columns: Sequence[str], how: str = "mean") -> DataFrame:
     """Only `columns`: nulls filled by the mean (or median), then standardized by the population deviation."""
-    fill = df.agg(*[(F.avg(c) if how == "mean" else F.percentile(c, 0.5)).alias(c) for c in columns]).first()
+    fill = df.agg(*[F.avg(c).alias(c) for c in columns]).first() if how == "mean" else medians(df, columns)
     filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(fill[c])).alias(c) for c in columns])
     return Scaler("standard").fit(filled, columns).transform(filled)
 

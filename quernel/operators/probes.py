@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernel.functions.ordered import exact_quantiles
 from quernel.operators import aggregates as A
 
 
@@ -92,9 +93,9 @@ def lowess(df: DataFrame, x: str, y: str, share: float = 0.3, points: int = 100)
 
 
 def box_table(df: DataFrame, value: str, group: str | None = None) -> DataFrame:
-    """group, low, q1, median, q3, high for box charts."""
-    q = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(v) for v in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("q")
-    by = df.groupBy((F.col(group).cast("string") if group else F.lit("all")).alias("group")).agg(q)
+    """group, low, q1, median, q3, high for box charts, of groups with values."""
+    rows = df.select((F.col(group).cast("string") if group else F.lit("all")).alias("group"), F.col(value).alias("value"))
+    by = exact_quantiles(rows, "value", (0.0, 0.25, 0.5, 0.75, 1.0), ["group"])
     return by.select("group", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("low", "q1", "median", "q3", "high"))])
 
 

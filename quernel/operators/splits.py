@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.functions.ordered import positions
+from quernel.functions.ordered import match, positions
 from quernel.functions.scalars import between_dates, fingerprint
 from quernel.operators.aggregates import group_coverage
 
@@ -90,6 +90,6 @@ def auto_folds(df: DataFrame, target: str, task: str, group: str | None = None,
 def stratified_split(df: DataFrame, target: str, test: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(train, test): per class, ceil(test * n) rows chosen by a seeded hash."""
     rows = positions(df.withColumn("_h", _shuffle(df, seed)), ["_h"], "_pos", [target])
-    rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy(target)))
+    rows = match(rows, df.groupBy(target).agg(F.count("*").alias("_n")), [target])  # one row a class
     chosen = F.col("_pos") <= F.ceil(F.col("_n") * test)
     return rows.where(~chosen).select(*df.columns), rows.where(chosen).select(*df.columns)

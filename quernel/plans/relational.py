@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernel.functions import scalars as S
-from quernel.functions.ordered import positions
+from quernel.functions.ordered import exact_quantiles, positions
 from quernel.operators import aggregates as A
 from quernel.operators import metrics as M
 from quernel.operators import preprocess as P
@@ -59,7 +59,7 @@ _NULLED = "(SELECT p_partkey, CASE WHEN p_size <= 40 THEN p_size::DOUBLE END AS
   round(coalesce(v, (SELECT avg(v) FROM {_NULLED})), 6) AS by_mean, coalesce(v, 0) AS by_zero, coalesce(v::INT::VARCHAR, '__nan__') AS by_token FROM {_NULLED}""")
 def pf5(spark, d):
     rows = table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") <= 40, F.col("p_size").cast("double")).alias("v"))
-    fill = rows.agg(F.percentile("v", 0.5).alias("m"), F.avg("v").alias("a"))
+    fill = rows.agg(F.avg("v").alias("a")).crossJoin(exact_quantiles(rows, "v", [0.5]).select(F.get("q", F.lit(0)).alias("m")))  # one row each
     v = F.col("v")
     return rows.crossJoin(F.broadcast(fill)).select("p_partkey", F.coalesce(v, "m").alias("by_median"), r(F.coalesce(v, "a")).alias("by_mean"), F.coalesce(v, F.lit(0.0)).alias("by_zero"), F.coalesce(v.cast("int").cast("string"), F.lit("__nan__")).alias("by_token"))
 
@@ -124,8 +124,8 @@ SELECT p_partkey, least(floor((p_retailprice - lo) / ((hi - lo) / 5)), 4)::BIGIN
   ((row_number() OVER (ORDER BY p_partkey) - 1) * 5 // count(*) OVER ())::BIGINT AS position_bin FROM part, s""".replace("[quantile_cont(p_retailprice, q) FOR q IN [0.2]] AS _u, ", ""))
 def pf15(spark, d):
     part = table(spark, d, "part")
-    s = part.agg(F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi"), F.percentile("p_retailprice", F.array(*[F.lit(x / 5) for x in range(6)])).alias("q"))
-    q = s.first()["q"]
+    s = part.agg(F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi"))
+    q = exact_quantiles(part, "p_retailprice", [x / 5 for x in range(6)]).first()["q"]
     n = part.count()
     rows = positions(part, ["p_partkey"], "pos").crossJoin(F.broadcast(s))
     return rows.select("p_partkey", S.equal_width_bin(F.col("p_retailprice"), F.col("lo"), F.col("hi"), 5).alias("even_bin"), S.bin_by_breaks(F.col("p_retailprice"), q).alias("quantile_bin"), F.floor((F.col("pos") - 1) * 5 / n).alias("position_bin"))

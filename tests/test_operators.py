@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quernel import config
 from quernel.functions import scalars as S
-from quernel.functions.ordered import average_ranks, positions
+from quernel.functions.ordered import average_ranks, exact_quantiles, positions
 from quernel.operators import additive as G
 from quernel.operators import aggregates as A
 from quernel.operators import drift as D
@@ -133,6 +133,44 @@ def test_auto_strategy_and_missing_values(spark, cats):
     assert {d["column"] for d in enc.decisions} == {"city", "flag"}
 
 
+def test_positions_of_texts(spark):
+    texts = [f"Customer#{k * 7919 % 1000:09d}" for k in range(1000)] + ["Customer#", "é", "", "Customer", "zz", "日本"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["t"]: r["k"] for r in positions(df, ["t"], "k").collect()}
+    assert got == {t: k + 1 for k, t in enumerate(sorted(texts, key=lambda t: t.encode()))}
+    assert positions(df.limit(0), ["t"], "k").count() == 0
+    same = positions(df.where("t like 'Customer#%'"), ["t"], "k")
+    assert sorted(r["k"] for r in same.collect()) == list(range(1, 1002))
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, float(v)) for g in ("a", "b", None) for v in np.round(rng.exponential(10, 301), 1)] + [("a", None), ("empty", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    at = [0, 0.1, 0.25, 0.5, 0.9, 1]
+    got = {r["g"]: r["q"] for r in exact_quantiles(df, "v", at, ["g"]).collect()}
+    assert set(got) == {"a", "b", None}
+    for g, q in got.items():
+        assert np.allclose(q, np.quantile([v for h, v in rows if h == g and v is not None], at))
+    assert np.allclose(exact_quantiles(df, "v", at).first()["q"], np.quantile([v for _, v in rows if v is not None], at))
+    assert exact_quantiles(df.limit(0), "v", at).first()["q"] is None
+    assert exact_quantiles(df.limit(0), "v", at, ["g"]).count() == 0
+
+
+def test_null_classes_keep_their_rows(spark):
+    df = spark.range(100).withColumn("y", F.when(F.col("id") % 3 > 0, F.col("id") % 3))
+    train, test = W.stratified_split(df, "y")
+    assert train.count() + test.count() == 100 and test.where("y is null").count() == 7
+    assert W.stratified_folds(df, "y").count() == 100
+
+
+def test_drift_of_disjoint_categories(spark):
+    a, b = (spark.createDataFrame([(x,) for x in t], "c string") for t in ("aabc", "xyz"))
+    row = D.categorical(a, b, ["c"]).first()
+    assert np.isclose(row["tv"], 0.5) and row["js"] is None
+    assert D.categorical(a, b.limit(0), ["c"]).count() == 0
+
+
 def test_folds_are_disjoint_and_even(frame):
     for rows in (W.kfold_labels(frame, ["timestamp"], 7), W.shuffled_folds(frame, 7), W.stratified_folds(frame, "operator", 7)):
         n = [r["count"] for r in rows.groupBy("fold").count().collect()]
