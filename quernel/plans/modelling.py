@@ -13,8 +13,9 @@ from quernel.operators import icc as I
 from quernel.operators import models as X
 from quernel.operators import probes as R
 from quernel.operators import splits as W
-from quernel.plans.registry import query, r, rounded, table
+from quernel.plans.registry import SQL, query, r, rounded, table
 from quernel.plans.relational import CUT
+from quernel.plans.statistics import NUMERIC_DRIFT, drift_digits
 from quernel.sources import readers as S
 
 FEATURES = ["l_quantity", "l_discount", "l_tax"]
@@ -162,17 +163,19 @@ def pr2(spark, d):
     return R.run("importance_stability", gain, spark.createDataFrame([("a", 0.2)], "feature string, mean double"), 1.0).table
 
 
-@query("pr3_drift_importance")
+@query("pr3_drift_importance", f"""SELECT *, CASE WHEN ks >= 0.001 THEN 'ks>0.001' ELSE 'ok' END AS note, CASE WHEN ks >= 0.001 THEN 'high' ELSE 'low' END AS risk_level, CASE WHEN feature = 'l_tax' THEN 0.3::DOUBLE END AS importance,
+  feature = 'l_tax' AND ks >= 0.001 AS critical FROM ({NUMERIC_DRIFT.replace("l_extendedprice", "l_tax")})""")
 def pr3(spark, d):
     t = table(spark, d, "lineitem")
     cut = F.lit(CUT).cast("timestamp_ntz")
     drift = D.DriftAnalyzer({"ks": 0.001}).table(t.where(F.col("l_shipdate") < cut), t.where(F.col("l_shipdate") >= cut), ["l_quantity", "l_tax"])
-    return R.run("drift_importance_matrix", drift, spark.createDataFrame([("l_tax", 0.3)], "feature string, importance double")).table
+    return drift_digits(R.run("drift_importance_matrix", drift, spark.createDataFrame([("l_tax", 0.3)], "feature string, importance double")).table)
 
 
-@query("pr4_icc_top")
+@query("pr4_icc_top", f"""SELECT "Type", "ICC", CASE "Type" WHEN 'ICC1' THEN 'one-way random, absolute agreement' WHEN 'ICC2' THEN 'two-way random, absolute agreement' ELSE 'two-way mixed, consistency' END AS "Description"
+FROM ({SQL["i1_icc_one_way"]}) ORDER BY "ICC" DESC, "Type" LIMIT 1""")
 def pr4(spark, d):
-    return R.run("icc_group_stability", I.icc_one_way(table(spark, d, "events"), "event_type", "value")).table
+    return rounded(R.run("icc_group_stability", I.icc_one_way(table(spark, d, "events"), "event_type", "value")).table)
 
 
 @query("pr5_target_curve", "SELECT l_quantity, l_extendedprice FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL")

@@ -11,7 +11,7 @@ from quernel.operators import hsic as H
 from quernel.operators import icc as I
 from quernel.operators import preprocess as P
 from quernel.operators import splits as W
-from quernel.plans.registry import query, r, rounded, table
+from quernel.plans.registry import SQL, query, r, rounded, table
 from quernel.plans.relational import CUT, PART, _part
 
 NUM = ["l_quantity", "l_extendedprice"]
@@ -93,9 +93,22 @@ def d8(spark, d):
     return D.with_risk(D.two_sample(*_sides(spark, d), NUM).select("feature", "ks"), {"ks": 0.004, "psi": 0}).select("feature", "note", "risk_level")
 
 
-@query("d9_drift_report")
+#: Numeric features in one table, from the queries of the single metrics.
+NUMERIC_DRIFT = "SELECT feature, ks, cvm, psi, wasserstein, js, tv FROM " + " JOIN ".join(f"({SQL[n]}) AS {n}{' USING (feature)' if n != 'd1_ks' else ''}" for n in ("d1_ks", "d2_cvm", "d3_psi", "d4_wasserstein", "d5_js", "d6_tv"))
+_FLAG = f"""(WITH c AS (SELECT l_returnflag, count(*) FILTER (l_shipdate < TIMESTAMP '{CUT}') AS a, count(*) FILTER (l_shipdate >= TIMESTAMP '{CUT}') AS b FROM lineitem GROUP BY 1), s AS (SELECT a / sum(a) OVER () AS p, b / sum(b) OVER () AS q, a FROM c)
+SELECT round(sum((p - q) * ln((p + 1e-9) / (q + 1e-9))), 8) AS psi, round(sum(p * ln(p / q) + q * ln(q / p)), 8) AS js, round(sum(abs(p - q)) / 2, 10) AS tv FROM s)"""
+
+
+def drift_digits(table: DataFrame) -> DataFrame:
+    digits = {"ks": 8, "cvm": 5, "psi": 8, "wasserstein": 6, "js": 8, "tv": 10}
+    return table.select(*[r(c, digits[c]).alias(c) if c in digits else c for c in table.columns])
+
+
+@query("d9_drift_report", f"""WITH t AS ({NUMERIC_DRIFT} UNION ALL SELECT 'l_returnflag', NULL, NULL, psi, NULL, js, tv FROM {_FLAG}),
+n AS (SELECT *, concat_ws(', ', CASE WHEN psi >= 0.002 THEN 'psi>0.002' END, CASE WHEN ks >= 0.1 THEN 'ks>0.1' END) AS hits FROM t)
+SELECT feature, ks, cvm, psi, wasserstein, js, tv, CASE WHEN hits = '' THEN 'ok' ELSE hits END AS note, CASE WHEN hits = '' THEN 'low' ELSE 'high' END AS risk_level FROM n""")
 def d9(spark, d):
-    return D.DriftAnalyzer({"psi": 0.1, "ks": 0.1}).table(*_sides(spark, d), [*NUM, "l_returnflag"])
+    return drift_digits(D.DriftAnalyzer({"psi": 0.002, "ks": 0.1}).table(*_sides(spark, d), [*NUM, "l_returnflag"]))
 
 
 @query("d10_quality_table", "SELECT feature, count(*) AS n, count(*) FILTER (v IS NULL) AS nulls, count(DISTINCT v) AS \"distinct\", min(v) AS low, max(v) AS high FROM (SELECT 'p_brand' AS feature, p_brand AS v FROM %s UNION ALL SELECT 'p_type', p_type FROM %s) GROUP BY 1" % (PART, PART))
@@ -303,10 +316,10 @@ def e16(spark, d):
     return spark.createDataFrame(got, "feature string, strategy string")
 
 
-@query("e17_explicit_strategies")
+@query("e17_explicit_strategies", f"""SELECT p_partkey, e.v0 AS p_brand__target_mean, c.v0 AS p_type__count FROM ({SQL["e3_target"]}) e JOIN (SELECT p_partkey, v0 FROM {PART} p JOIN (SELECT p_type, count(*)::DOUBLE AS v0 FROM {PART} GROUP BY 1) t ON p.p_type IS NOT DISTINCT FROM t.p_type) c USING (p_partkey)""".replace("80.0::DOUBLE", "10.0::DOUBLE"))
 def e17(spark, d):
     df = _part(spark, d)
-    return E.CategoricalEncoder({"p_brand": "target", "p_type": "count"}).fit(df, "p_retailprice", ["p_brand", "p_type"]).transform(df, ["p_partkey"])
+    return rounded(E.CategoricalEncoder({"p_brand": "target", "p_type": "count"}).fit(df, "p_retailprice", ["p_brand", "p_type"]).transform(df, ["p_partkey"]))
 
 
 @query("e0_target_by_priority", """WITH g AS (SELECT avg(o_totalprice) AS mean FROM orders), c AS (SELECT o_orderpriority, count(*) AS n, avg(o_totalprice) AS m FROM orders GROUP BY 1)
@@ -346,11 +359,21 @@ def pp6(spark, d):
     return rounded(P.impute_and_standardize(p, ["x"]))
 
 
-@query("pp1_preprocessor")
+def _oof(column: str) -> str:
+    return f"""(SELECT c, round(sum(oof * rows) / sum(rows), 4) AS value FROM (SELECT c, rows, (sum(s) OVER (PARTITION BY c) - s) / (sum(n) OVER (PARTITION BY c) - n) AS oof FROM (
+  SELECT {column} AS c, fold, count(*) AS rows, count(y) AS n, sum(y) AS s FROM f GROUP BY 1, 2)) GROUP BY 1)"""
+
+
+_SCALED = ", ".join(f"round(({c} - quantile_cont({c}, 0.5) OVER ()) / (quantile_cont({c}, 0.75) OVER () - quantile_cont({c}, 0.25) OVER ()), 6) AS {c}" for c in ("o_custkey", "o_orderkey"))
+
+
+@query("pp1_preprocessor", f"""WITH f AS {_FOLD.replace("o_orderpriority AS c, ", "o_custkey, o_orderstatus, o_orderpriority, ").replace("o_orderdate, o_orderkey", "o_orderkey")}
+SELECT {_SCALED}, a.value AS o_orderstatus_te, b.value AS o_orderpriority_te FROM f JOIN {_oof("o_orderstatus")} a ON f.o_orderstatus = a.c JOIN {_oof("o_orderpriority")} b ON f.o_orderpriority = b.c""")
 def pp1(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
     pre = P.Preprocessor().fit(o.select("o_totalprice", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderkey"), "o_totalprice", ["o_orderkey"])
-    return rounded(pre.transform(o))
+    out = pre.transform(o)
+    return out.select(*[r(c, 4 if c.endswith("_te") else 6).alias(c) for c in out.columns])
 
 
 _G1 = "SELECT event_id, coalesce(k, n) AS idx FROM events LEFT JOIN (SELECT event_type, row_number() OVER (ORDER BY min(event_id)) - 1 AS k FROM events WHERE event_type <> 'click' GROUP BY 1) g ON events.event_type = g.event_type, (SELECT count(DISTINCT event_type) AS n FROM events WHERE event_type <> 'click')"
