@@ -90,7 +90,7 @@ def histogram(df: DataFrame, value: str, breaks: Sequence[float], density: bool
     edges = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(breaks[:-1], breaks[1:], strict=True))], "bin long, low double, high double")
     out = edges.join(counts, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     if density:
-        out = out.withColumn("density", F.col("n") / F.sum("n").over(Window.partitionBy()) / (F.col("high") - F.col("low")))
+        out = out.withColumn("density", F.try_divide(F.col("n"), F.sum("n").over(Window.partitionBy())) / (F.col("high") - F.col("low")))
     return out
 
 

@@ -30,7 +30,7 @@ def icc_one_way(df: DataFrame, group: str, value: str) -> DataFrame:
 def icc_two_way(df: DataFrame, target: str, rater: str, value: str) -> DataFrame:
     """Type, ICC for ICC1, ICC2, ICC3 and their averages ICC1k, ICC2k, ICC3k; every rater rates every target once.
 
-    A design with missing or repeated ratings gives null.
+    A design with missing or repeated ratings gives null, and so does one with a single target or rater or without variance.
     """
     rows = df.select(F.col(target).alias("t"), F.col(rater).alias("r"), F.col(value).cast("double").alias("v"))
     cells = rows.groupBy("t", "r").agg(F.avg("v").alias("v"), F.count("v").alias("c"))
@@ -38,12 +38,12 @@ def icc_two_way(df: DataFrame, target: str, rater: str, value: str) -> DataFrame
     of_t = cells.groupBy("t").agg(F.avg("v").alias("m")).agg(F.count("*").cast("double").alias("n"), F.var_pop("m").alias("vt"))
     of_r = cells.groupBy("r").agg(F.avg("v").alias("m")).agg(F.count("*").cast("double").alias("k"), F.var_pop("m").alias("vr"))
     s = mean.crossJoin(of_t).crossJoin(of_r)  # one row each
-    n, k = F.col("n"), F.col("k")
+    n, k, over = F.col("n"), F.col("k"), F.try_divide
     good = (F.col("cells") == n * k) & (F.col("most") == 1) & (F.col("least") == 1)
     st, sr, ss = F.col("vt") * n * k, F.col("vr") * n * k, F.col("var") * n * k
-    s = s.select("n", "k", good.alias("good"), (st / (n - 1)).alias("b"), ((ss - st) / (n * (k - 1))).alias("w"), (sr / (k - 1)).alias("j"), ((ss - st - sr) / ((n - 1) * (k - 1))).alias("e"))
+    s = s.select("n", "k", good.alias("good"), over(st, n - 1).alias("b"), over(ss - st, n * (k - 1)).alias("w"), over(sr, k - 1).alias("j"), over(ss - st - sr, (n - 1) * (k - 1)).alias("e"))
     b, w, j, e = (F.col(x) for x in "bwje")
-    forms = [("ICC1", (b - w) / (b + (k - 1) * w)), ("ICC2", (b - e) / (b + (k - 1) * e + k * (j - e) / n)), ("ICC3", (b - e) / (b + (k - 1) * e)), ("ICC1k", (b - w) / b), ("ICC2k", (b - e) / (b + (j - e) / n)), ("ICC3k", (b - e) / b)]
+    forms = [("ICC1", over(b - w, b + (k - 1) * w)), ("ICC2", over(b - e, b + (k - 1) * e + k * (j - e) / n)), ("ICC3", over(b - e, b + (k - 1) * e)), ("ICC1k", over(b - w, b)), ("ICC2k", over(b - e, b + (j - e) / n)), ("ICC3k", over(b - e, b))]
     cells = F.array(*[F.struct(F.lit(x).alias("Type"), F.when(F.col("good"), c).alias("ICC")) for x, c in forms])
     return s.select(F.explode(cells).alias("f")).select("f.*")
 

@@ -40,7 +40,8 @@ def _mae(y: Column, p: Column) -> Column:
 
 @metric("r2")
 def _r2(y: Column, p: Column) -> Column:
-    return 1 - F.sum((y - p) * (y - p)) / (F.var_pop(y) * F.count(y))
+    sse, sst = F.sum((y - p) * (y - p)), F.var_pop(y) * F.count(y)
+    return F.when(sst == 0, F.when(sse == 0, 1.0).otherwise(0.0)).otherwise(1 - F.try_divide(sse, sst))
 
 
 @metric("medae")
@@ -81,22 +82,22 @@ def confusion(df: DataFrame, target: str, predicted: str) -> DataFrame:
 
 
 def roc_points(df: DataFrame, target: str, score: str) -> DataFrame:
-    """threshold, fpr, tpr at each distinct score: rates of rows with that score or a higher one."""
+    """threshold, fpr, tpr at each distinct score: rates of rows with that score or a higher one; null without such rows."""
     counts = df.groupBy(F.col(score).cast("double").alias("threshold")).agg(F.sum((F.col(target) == 1).cast("long")).alias("p"), F.sum((F.col(target) != 1).cast("long")).alias("n"))
     down = running(counts.withColumn("_down", -F.col("threshold")), ["_down"], {"tp": F.col("p"), "fp": F.col("n")})
     total = counts.agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))
-    return down.crossJoin(F.broadcast(total)).select("threshold", (F.col("fp") / F.col("neg")).alias("fpr"), (F.col("tp") / F.col("pos")).alias("tpr"))
+    return down.crossJoin(F.broadcast(total)).select("threshold", F.try_divide("fp", "neg").alias("fpr"), F.try_divide("tp", "pos").alias("tpr"))
 
 
 def auc(df: DataFrame, target: str, score: str) -> DataFrame:
-    """auc: the rank sum of the positives, ties at their mean rank."""
-    ranked = average_ranks(df.select(F.col(target).alias("y"), F.col(score).cast("double").alias("s")), "s", "r")
+    """auc: the rank sum of the positives, ties at their mean rank, over rows without nulls; null unless both classes occur."""
+    ranked = average_ranks(df.select(F.col(target).alias("y"), F.col(score).cast("double").alias("s")).where("y is not null and s is not null"), "s", "r")
     s = ranked.agg(F.sum(F.when(F.col("y") == 1, F.col("r"))).alias("r"), F.count_if(F.col("y") == 1).cast("double").alias("p"), F.count_if(F.col("y") != 1).cast("double").alias("n"))
-    return s.select(((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("n"))).alias("auc"))
+    return s.select(F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("n")).alias("auc"))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """spearman: the correlation of mean ranks over rows where both are not null."""
+    """spearman: the correlation of mean ranks over rows where both are not null; null if either is constant."""
     rows = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).where("a is not null and b is not null")
     ranked = average_ranks(average_ranks(rows, "a", "ra"), "b", "rb")
-    return ranked.agg(F.corr("ra", "rb").alias("spearman"))
+    return ranked.agg(F.try_divide(F.covar_pop("ra", "rb"), F.stddev_pop("ra") * F.stddev_pop("rb")).alias("spearman"))

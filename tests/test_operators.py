@@ -164,6 +164,18 @@ def test_null_classes_keep_their_rows(spark):
     assert W.stratified_folds(df, "y").count() == 100
 
 
+def test_undefined_ratios_are_null(spark):
+    df = spark.range(6).select(F.lit(1).alias("one"), F.col("id").cast("double").alias("x"), F.lit(2.0).alias("c"))
+    assert M.auc(df, "one", "x").first()[0] is None
+    assert {r["fpr"] for r in M.roc_points(df, "one", "x").collect()} == {None}
+    assert M.spearman(df, "x", "c").first()[0] is None
+    assert M.evaluate(df, "c", "x", ("r2",)).first()[0] == 0 and M.evaluate(df, "c", "c", ("r2", "medae")).first()[:] == (1.0, 0.0)
+    assert {r["ICC"] for r in I.icc_two_way(df, "one", "x", "c").collect()} == {None}
+    assert {(r["n"], r["density"]) for r in A.histogram(df.limit(0), "x", [0, 1, 2], True).collect()} == {(0, None)}
+    mixed = df.withColumn("y", F.when(F.col("x") < 4, (F.col("x") > 1).cast("int")))
+    assert M.auc(mixed, "y", "x").first()[0] == 1
+
+
 def test_drift_of_disjoint_categories(spark):
     a, b = (spark.createDataFrame([(x,) for x in t], "c string") for t in ("aabc", "xyz"))
     row = D.categorical(a, b, ["c"]).first()
