@@ -34,23 +34,30 @@ def as_number(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
-def running(df: DataFrame, order: Sequence[str], sums: Mapping[str, Column], by: Sequence[str] = (), most: int = RANGES) -> DataFrame:
-    """df with, for each name in sums, the sum of its column over the rows up to this one in `order`, within `by`."""
-    by = list(by)
-    ranges = max(4, min(most, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    value = as_number(df, order[0])
+def _ranged(df: DataFrame, value: Column, by: Sequence[str], ranges: int, few: bool = False) -> DataFrame:
+    """df with _range: which of `ranges` ranges, cut at approximate quantiles within `by`, the value lies in."""
     cuts = [i / ranges for i in range(1, ranges)]
     breaks = (df.groupBy(*by) if by else df).agg(F.percentile_approx(value, F.array(*[F.lit(c) for c in cuts]), F.lit(1000)).alias("_breaks"))
-    # one row for each group; Spark broadcasts it if it is small
-    placed = match(df, breaks, by) if by else df.crossJoin(F.broadcast(breaks))
-    placed = placed.withColumn("_range", F.coalesce(F.size(F.filter("_breaks", lambda b: b < value)), F.lit(0))).drop("_breaks")
+    # one row for each group; with many groups Spark broadcasts it if it is small
+    placed = match(df, F.broadcast(breaks) if few else breaks, by) if by else df.crossJoin(F.broadcast(breaks))
+    return placed.withColumn("_range", F.coalesce(F.size(F.filter("_breaks", lambda b: b < value)), F.lit(0))).drop("_breaks")
+
+
+def running(df: DataFrame, order: Sequence[str], sums: Mapping[str, Column], by: Sequence[str] = (), most: int = RANGES, few: bool = False) -> DataFrame:
+    """df with, for each name in sums, the sum of its column over the rows up to this one in `order`, within `by`.
+
+    few: `by` has few groups (such as columns), so what there is of one row a group or range is broadcast.
+    """
+    by = list(by)
+    ranges = max(4, min(most, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    placed = _ranged(df, as_number(df, order[0]), by, ranges, few)
     parts = {f"_part_{k}": c for k, c in sums.items()}
     placed = placed.withColumns(parts)
     totals = placed.groupBy(*by, "_range").agg(*[F.sum(p).alias(f"{p}_all") for p in parts])
     ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*by, "_range", *[F.coalesce(F.sum(f"{p}_all").over(ahead), F.lit(0)).alias(f"{p}_before") for p in parts])
     inside = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = match(placed, totals, [*by, "_range"])
+    out = match(placed, F.broadcast(totals) if few or not by else totals, [*by, "_range"])
     out = out.withColumns({k: F.col(f"_part_{k}_before") + F.sum(f"_part_{k}").over(inside) for k in sums})
     return out.select(*df.columns, *sums)
 
@@ -76,18 +83,30 @@ def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "in
     return left.join(named, on, how).drop(*[f"_right_{k}" for k in keys])
 
 
-def exact_quantiles(df: DataFrame, value: str, at: Sequence[float], by: Sequence[str] = (), name: str = "q") -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, at: Sequence[float], by: Sequence[str] = (), name: str = "q", few: bool = False) -> DataFrame:
     """by.. and `name`: exact quantiles of the non-null values, with linear interpolation, as an array in the order of `at`.
 
-    Equal values are counted, running counts are found in ranges, and only values at the wanted ranks go on, so no task
-    holds all distinct values. Without values there is no row for a group, or one row with a null where `by` is empty.
+    Rows are counted by ranges; only rows of the ranges that hold a wanted rank go on, and are sorted range by range, so
+    no task holds all distinct values. few: `by` has few groups (such as columns), so the wanted ranges are broadcast.
+    Without values there is no row for a group, or one row with a null where `by` is empty.
     """
     by = list(by)
-    counts = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null").groupBy(*by, "_v").agg(F.count("*").alias("_n"))
-    ranked = running(counts, ["_v"], {"_upto": F.col("_n")}, by)
-    totals = (counts.groupBy(*by) if by else counts).agg(F.sum("_n").alias("_all"))  # one row for each group
-    ranked = match(ranked, totals, by) if by else ranked.crossJoin(F.broadcast(totals))
+    ranges = max(64, min(RANGES, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null")
+    placed = _ranged(rows, F.col("_v"), by, ranges, few)
+    whole = Window.partitionBy(*by)
+    totals = placed.groupBy(*by, "_range").agg(F.count("*").alias("_n"))  # at most `ranges` rows for each group
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select(*by, "_range", "_n", before.alias("_before"), F.sum("_n").over(whole).alias("_all"))
     place = [F.lit(float(a)) * (F.col("_all") - 1) for a in at]
+    wanted = F.lit(False)
+    for rank in (r for x in place for r in (F.floor(x), F.ceil(x))):
+        wanted = wanted | ((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n")))
+    wanted = totals.where(wanted).select(*by, "_range", "_before", "_all")
+    kept = match(placed, F.broadcast(wanted) if few or not by else wanted, [*by, "_range"])
+    counts = kept.groupBy(*by, "_range", "_before", "_all", "_v").agg(F.count("*").alias("_n"))
+    inside = Window.partitionBy(*by, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
 
     def value_at(rank: Column) -> Column:
         return F.max(F.when((F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto")), F.col("_v")))
@@ -95,8 +114,7 @@ def exact_quantiles(df: DataFrame, value: str, at: Sequence[float], by: Sequence
     ends = [e for k, x in enumerate(place) for e in (value_at(F.floor(x)).alias(f"_low{k}"), value_at(F.ceil(x)).alias(f"_high{k}"), F.max(x - F.floor(x)).alias(f"_part{k}"))]
     found = (ranked.groupBy(*by) if by else ranked).agg(*ends)
     low, high, part = ([F.col(f"_{x}{k}") for k in range(len(place))] for x in ("low", "high", "part"))
-    mid = [F.when(a == b, a).otherwise(a + (b - a) * c) for a, b, c in zip(low, high, part, strict=True)]
-    q = F.array(*mid)
+    q = F.array(*[F.when(a == b, a).otherwise(a + (b - a) * c) for a, b, c in zip(low, high, part, strict=True)])
     return found.select(*by, (q if by else F.when(F.col("_low0").isNotNull(), q)).alias(name))
 
 
@@ -104,5 +122,5 @@ def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
     """The exact median of each column."""
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
     rows = df.select(F.explode(cells).alias("_c")).select("_c.feature", "_c.value")
-    got = {r["feature"]: r["q"][0] for r in exact_quantiles(rows, "value", [0.5], ["feature"]).collect()}  # one row a column
+    got = {r["feature"]: r["q"][0] for r in exact_quantiles(rows, "value", [0.5], ["feature"], few=True).collect()}  # one row a column
     return {c: got.get(c) for c in columns}

@@ -96,7 +96,7 @@ def histogram(df: DataFrame, value: str, breaks: Sequence[float], density: bool
 
 def quantiles(df: DataFrame, columns: Sequence[str], at: Sequence[float]) -> DataFrame:
     """feature and q: exact quantiles by linear interpolation."""
-    return exact_quantiles(long_form(df, columns, "double"), "value", at, ["feature"])
+    return exact_quantiles(long_form(df, columns, "double"), "value", at, ["feature"], few=True)
 
 
 def column_ranges(df: DataFrame, columns: Sequence[str]) -> DataFrame:

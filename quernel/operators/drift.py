@@ -34,7 +34,7 @@ def two_sample(ref: DataFrame, cmp: DataFrame, columns: Sequence[str]) -> DataFr
     rows = _both(ref, cmp, columns, "double")
     counts = rows.groupBy("feature", "value").agg(F.sum((F.col("side") == 0).cast("double")).alias("a"), F.sum((F.col("side") == 1).cast("double")).alias("b"))
     totals = counts.groupBy("feature").agg(F.sum("a").alias("n"), F.sum("b").alias("m")).where("n > 0 and m > 0")
-    run = running(counts, ["value"], {"ca": F.col("a"), "cb": F.col("b")}, ["feature"]).join(totals, "feature")
+    run = running(counts, ["value"], {"ca": F.col("a"), "cb": F.col("b")}, ["feature"], few=True).join(totals, "feature")
     n, m, a, b = F.col("n"), F.col("m"), F.col("a"), F.col("b")
     ahead_a, ahead_b = F.col("ca") - a, F.col("cb") - b
     now, last = F.abs(F.col("ca") / n - F.col("cb") / m), F.abs(ahead_a / n - ahead_b / m)
@@ -65,7 +65,7 @@ def psi_numeric(ref: DataFrame, cmp: DataFrame, columns: Sequence[str], bins: in
     With fewer than two distinct quantiles: equal bins on [min, max + 1e-6].
     """
     rows = _both(ref, cmp, columns, "double")
-    q = exact_quantiles(rows.where("side = 0"), "value", [i / bins for i in range(bins + 1)], ["feature"])
+    q = exact_quantiles(rows.where("side = 0"), "value", [i / bins for i in range(bins + 1)], ["feature"], few=True)
     q = q.select("feature", F.array_distinct("q").alias("q"), F.element_at("q", 1).alias("lo"), F.element_at("q", -1).alias("hi"))
     step = (F.col("hi") + 1e-6 - F.col("lo")) / bins
     even = F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: F.col("lo") + i * step)

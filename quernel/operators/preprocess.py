@@ -75,7 +75,7 @@ def oof_mapping(df: DataFrame, column: str, target: str, fold: str) -> DataFrame
 
 def medians_and_iqr(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
     """Exact medians and interquartile ranges (0 becomes 1)."""
-    got = {r["feature"]: r["q"] for r in exact_quantiles(long_form(df, columns, "double"), "value", [0.25, 0.5, 0.75], ["feature"]).collect()}
+    got = {r["feature"]: r["q"] for r in exact_quantiles(long_form(df, columns, "double"), "value", [0.25, 0.5, 0.75], ["feature"], few=True).collect()}
     return {c: ((q := got.get(c) or [0.0, 0.0, 0.0])[1], (q[2] - q[0]) or 1.0) for c in columns}
 
 
