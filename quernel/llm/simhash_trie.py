@@ -233,7 +233,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bu
 
     Of rows without an id one stays, and only where their component has no id at all.
     """
-    groups = near_duplicates(docs, id_col, text_col, budget)
+    return keep_first(docs, near_duplicates(docs, id_col, text_col, budget), id_col)
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is the component_id that `groups` gives it; of rows that repeat one, one."""
     names = [fresh(docs, x) for x in ("key_a", "key_b", "key_n")]
     a, b, n = names
 
