@@ -25,7 +25,48 @@ from quernel.llm.common import components, cut, unite, whole_groups
 
 SEED = 20240607
 #: Independent codes; with more of them the numbers of filters that vectors pass differ less.
-CODES = 2
+CODES = 8
+#: Common filters that a pair at the least cosine has on average.
+COMMON = 12.0
+
+
+def _log_tail(dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Angles from 0 to a right angle, and the log of the share of the sphere in `dim` > 1 dimensions within each."""
+    angle = np.linspace(1e-6, math.pi / 2, 20_001)
+    log = (dim - 2) * np.log(np.sin(angle))
+    area = np.exp(log - log[-1])
+    total = np.cumsum(np.append(area[0] * angle[0], (area[1:] + area[:-1]) / 2 * np.diff(angle)))
+    return angle, np.log(np.maximum(total, 1e-300) / (2 * total[-1]))
+
+
+def cap_height(dim: int, share: float) -> float:
+    """The height of a cap that has `share` (up to a half) of the sphere: exactly, not by the normal distribution."""
+    if dim < 3:
+        return NormalDist().inv_cdf(1 - share) / math.sqrt(dim)
+    angle, log = _log_tail(dim)
+    return math.cos(float(np.interp(math.log(share), log, angle)))
+
+
+def shared(dim: int, height: float, cosine: float) -> float:
+    """The probability that a vector is in a cap if another at `cosine` to it is."""
+    if dim < 4 or not 0 <= cosine < 1:
+        return 1.0
+    angle = np.linspace(0, math.acos(height), 4001)[1:]
+    t = np.cos(angle)
+    least = (height - cosine * t) / (math.sqrt(1 - cosine**2) * np.maximum(np.sin(angle), 1e-12))
+    to, log = _log_tail(dim - 1)
+    one = np.exp(np.interp(np.arccos(np.clip(np.abs(least), 0, 1)), to, log))
+    one = np.where(least < 0, 1 - one, np.where(least >= 1, 0, one))
+    weight = np.exp((dim - 2) * (np.log(np.sin(angle)) - math.log(math.sin(angle[-1]))))
+    return float((weight * one).sum() / weight.sum())
+
+
+def codes_for(dim: int, count: int, passes: float, bucket: int, seed: int = SEED, least: float = 0.93) -> list[ProductCode]:
+    """Codes for a label of `count` classes: a vector passes `passes` filters, or more where higher caps are shared less."""
+    height = min(cap_height(dim, min(bucket / max(count, 1), 0.5)), 0.7)
+    passes = max(passes, COMMON / max(shared(dim, height, least), 1e-3))
+    filters = max(8, math.ceil(count * passes / bucket / CODES))
+    return [ProductCode(dim, filters, passes / CODES, seed + k) for k in range(CODES)]
 
 
 class ProductCode:
@@ -40,7 +81,7 @@ class ProductCode:
         words = max(2 * max(self.cuts), math.ceil(filters ** (1 / self.blocks)))
         self.codes = [self._code(rng, d, words) for d in self.cuts]
         self.base = words
-        height = NormalDist().inv_cdf(1 - min(passes / words**self.blocks, 0.5)) / math.sqrt(dim)
+        height = cap_height(dim, min(passes / words**self.blocks, 0.5))
         self.height = min(height, 0.7) * math.sqrt(self.blocks)  # a direction's words have length 1 each
 
     @staticmethod
@@ -76,7 +117,7 @@ class ProductCode:
         return row[order], word[order]
 
 
-def _passing(classes: DataFrame, counts: dict[int, int], passes: float, bucket: int, seed: int) -> DataFrame:
+def _passing(classes: DataFrame, counts: dict[int, int], passes: float, bucket: int, seed: int, least: float) -> DataFrame:
     """Classes with `filters`, the sorted filters that they pass. counts: the most classes of one label, by dimension."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,8 +130,7 @@ def _passing(classes: DataFrame, counts: dict[int, int], passes: float, bucket:
                 rows, words = [], []
                 for d in np.unique(dims).tolist():
                     if d not in codes:
-                        filters = max(8, math.ceil(counts[d] * passes / bucket / CODES))
-                        codes[d] = [ProductCode(d, filters, passes / CODES, seed + k) for k in range(CODES)]
+                        codes[d] = codes_for(d, counts[d], passes, bucket, seed, least)
                     own = np.flatnonzero(dims == d)
                     unit = _units(values[offsets[own][:, None] + np.arange(d)].astype(np.float64))
                     for k, code in enumerate(codes[d]):
@@ -145,13 +185,13 @@ def _bucket_links(unit: np.ndarray, side: np.ndarray | None, copies: np.ndarray,
 def cap_links(classes: DataFrame, least: float, passes: float = 20.0, bucket: int = 48, chunk: int = 2048, seed: int = SEED) -> DataFrame:
     """(cid, linked: copies in other classes linked to it, root) from every filter where a class has a link.
 
-    classes: cid, label, vec (finite, not zero, not null), copies. passes: how many filters a vector passes on average,
-    which sets the recall; it does not depend on the number of rows. The number of filters grows with the rows of a
+    classes: cid, label, vec (finite, not zero, not null), copies. passes: how many filters a vector passes on average
+    at least, which sets the recall; large labels have higher caps, which are shared less, and take more. The number of filters grows with the rows of a
     label so that a filter holds about `bucket` vectors; a filter with over `chunk` is dealt out by pairs of chunks.
     """
     sizes = classes.groupBy("label", F.size("vec").alias("dim")).count().groupBy("dim").agg(F.max("count").alias("n"))
     counts = {r["dim"]: r["n"] for r in sizes.collect()}  # one row per dimension
-    passing = cut(_passing(classes, counts, passes, bucket, seed), "cap-filters")
+    passing = cut(_passing(classes, counts, passes, bucket, seed, least), "cap-filters")
     narrow = passing.select("cid", "label", "dim", F.explode("filters").alias("filter"))
     key = ["label", "dim", "filter"]
     large = narrow.groupBy(*key).count().where(F.col("count") > 1)
