@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import components, cut, unite, whole_groups
+from quernel.llm.common import components, cut, named_ids, numbered_ids, unite, whole_groups
 
 SEED = 20240607
 #: Independent codes; with more of them the numbers of filters that vectors pass differ less.
@@ -233,9 +233,10 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     Vectors link if their labels are equal and not null, their lengths are equal and their cosine is at least `least`.
     Defined results: null, empty or zero vectors and those with a null or non-finite component link with nothing, nor
     does a null label; equal vectors, repeated rows included, link with one another; a null id counts as a link, but
-    component_id is the least non-null id and the row is not kept; an empty table gives no rows; other columns are not
-    read.
+    component_id is the least non-null id and the row is not kept; ids that are not integers are ordered as Spark sorts
+    them; an empty table gives no rows; other columns are not read.
     """
+    df, places = numbered_ids(df.select(id_col, vec_col, label_col), id_col, "cap-ids")
     df = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), F.col(label_col).alias("label"))
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("vec", lambda x: x != 0)
     valid = df.where(F.col("label").isNotNull() & F.col("vec").isNotNull()).where(fine)
@@ -251,4 +252,5 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     of = classes.select("label", "vec", "cid").join(named, "cid").drop("cid")
     out = df.join(of, ["label", "vec"], "left")
     own = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.cast("long").alias("component_id"), F.coalesce(F.col("id") == own, F.lit(False)).alias("kept"))
+    out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(False)).alias("kept"))
+    return named_ids(out, places, id_col, "component_id")

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word: a run of bytes other than ASCII white space (a Java and RE2 class).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,9 +35,14 @@ def work_dir(spark: SparkSession) -> str:
     return _FALLBACK.setdefault(app, "file://" + tempfile.mkdtemp(prefix="quernel-"))
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder, which other applications may use as well."""
+    return f"{work_dir(spark)}/quernel/{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
-    path = f"{work_dir(df.sparkSession)}/quernel/{label}-{uuid.uuid4().hex}"
+    path = f"{own_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._quernel_path = path
@@ -52,8 +58,8 @@ def drop_cut(df: DataFrame) -> None:
 
 
 def forget(spark: SparkSession) -> None:
-    """Delete every table that cut() has left in the shared folder. Results that have not been written yet need them."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark)}/quernel")
+    """Delete every table that cut() has left for this application. Results that have not been written yet need them."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
@@ -90,32 +96,73 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str, weight: Column |
     return out.drop(part, base, "before_", *keys)
 
 
+#: A key with over this share of all rows is hot; there are no more hot keys than its inverse.
+HOT = 1 / 1024
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: Sequence[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined to right, which has one row per key and in `count` the key's rows in left; `count` is dropped.
+
+    Rows of hot keys stay where they are and meet a broadcast of at most 1 / HOT rows; only the others are shuffled by
+    key, so no task gets all rows of a hot key. total: the sum of `count`. how: 'inner' or 'left_semi'.
+    """
+    hot = F.col(count) > max(16.0, total * HOT)
+    few = F.broadcast(right.where(hot).drop(count))
+    rest = left.join(F.broadcast(right.where(hot).select(*keys)), [*keys], "left_anti")
+    return left.join(few, [*keys], how).unionByName(rest.join(right.where(~hot).drop(count), [*keys], how))
+
+
 def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """(node, root) for every node of the undirected `edges` (a, b: long); root is the least node reachable.
 
     Alternating large and small stars: minima are pre-aggregated and edges are joined to them, so a node with very many
-    neighbours is neither gathered in one task nor expanded into pairs. Each round is a written table.
+    neighbours is neither gathered in one task (see join_hot) nor expanded into pairs. Each round is a written table.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = cut(e, label)
-    seen = None
+    n, seen = e.count(), None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        done = cut(small, label)
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = join_hot(both, least, ["u"], "n", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = cut(large, label)
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_hot(large, low, ["u"], "n", large.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        done = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), label)
         drop_cut(e)
+        drop_cut(large)
         e = done
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == seen:
             break
-        seen = tuple(now)
+        n, seen = now[0], tuple(now)
     roots = e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def numbered_ids(df: DataFrame, id_col: str, label: str = "ids") -> tuple[DataFrame, DataFrame | None]:
+    """(df with id_col as a long, None) for integral ids; else ids become their places in their sort order, and the
+    second table (place, id) gives them back. Null ids stay null."""
+    kind = df.schema[id_col].dataType
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return df.withColumn(id_col, F.col(id_col).cast("long")), None
+    distinct = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
+    places = cut(numbered(distinct, [F.col("id")], "place", label=label), label)
+    out = df.withColumnRenamed(id_col, "id").join(places, "id", "left").drop("id").withColumnRenamed("place", id_col)
+    return out, places.select("place", "id")
+
+
+def named_ids(df: DataFrame, places: DataFrame | None, *columns: str) -> DataFrame:
+    """df with the ids back in `columns` that numbered_ids() made numbers; the columns' order stays."""
+    if places is None:
+        return df
+    order = df.columns
+    for c in columns:
+        named = places.select(F.col("place").alias(c), F.col("id").alias(fresh(df, "id_")))
+        df = df.join(named, c, "left").drop(c).withColumnRenamed(named.columns[1], c)
+    return df.select(*order)
+
+
 def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Merge the sets of a[i] and b[i] in `label` (index of a smaller member, or its own), in place."""
     while True:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernel.llm.common import cut
+from quernel.llm.common import cut, named_ids, numbered_ids
 
 #: Scores stay exact in double arithmetic below this.
 EXACT = 2.0**53
@@ -41,8 +41,8 @@ class KDTree:
         self.hi.append(hi)
         self.range.append((a, b))
         self.kids.append(None)
-        wide = int(np.argmax(hi.astype(np.float64) - lo))
-        if b - a > leaf and hi[wide] > lo[wide]:
+        if b - a > leaf and (hi > lo).any():  # never for vectors without components
+            wide = int(np.argmax(hi.astype(np.float64) - lo))
             mid = (b - a) // 2
             self.order[a:b] = rows[np.argpartition(part[:, wide], mid)]
             self.kids[me] = (self._grow(a, a + mid, leaf), self._grow(a + mid, b, leaf))
@@ -104,11 +104,13 @@ def top_k(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embed
     shard_rows: rows of a KD-tree. block: queries searched by one task in one shard; more go to other tasks.
     Defined results: vectors that are null or hold null or non-finite components take no part, neither do rows with a
     null id; an empty vector scores 0; vectors of other lengths than the query's are no candidates; a repeated row is
-    one candidate more with the same id, ties among them in no order, and a repeated query is answered once; components
-    are exact as long as scores fit a long; an empty table gives no rows.
+    one candidate more with the same id, and a repeated query is answered once; rows that share an id but not the vector
+    are queries of their own, each with ranks from 1, and no candidates of one another; ids that are not integers are
+    ordered as Spark sorts them; components are exact as long as scores fit a long; an empty table gives no rows.
     """
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), is_query.alias("asks"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), is_query.alias("asks"))
+    rows, places = numbered_ids(rows, "id", "kd-ids")
     rows = rows.where(F.col("id").isNotNull() & F.col("vec").isNotNull()).where(fine)
     ints = F.transform("vec", lambda x: F.floor(x.cast("double") * scale).cast("long"))
     rows = cut(rows.select("id", ints.alias("vec"), F.size("vec").alias("dim"), "asks"), "kd-rows")
@@ -121,32 +123,33 @@ def top_k(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embed
     shard = F.pmod(F.xxhash64("id"), "shards").cast("int")
     group = F.pmod(F.xxhash64("id", F.lit(1)), "blocks").cast("int")
     queries = rows.where("asks").dropDuplicates(["id", "vec"]).select("dim", "shards", group.alias("group"), shard.alias("own"), F.col("id").alias("qid"), "vec")
-    queries = cut(queries, "kd-queries")
+    queries = cut(queries.withColumn("qkey", F.monotonically_increasing_id()), "kd-queries")
 
     def answer(key, tree_rows, asked):
         if not len(tree_rows) or not len(asked):
-            return pd.DataFrame({"qid": [], "vec_id": [], "score": []}).astype("int64")
+            return pd.DataFrame({"qkey": [], "qid": [], "vec_id": [], "score": []}).astype("int64")
         tree = KDTree(tree_rows["id"].to_numpy(), _matrix(tree_rows["vec"]), leaf)
-        qids, q = asked["qid"].to_numpy(), _matrix(asked["vec"])
+        qkeys, qids, q = asked["qkey"].to_numpy(), asked["qid"].to_numpy(), _matrix(asked["vec"])
         kth = asked["kth"].to_numpy()
         found = []
         for at in range(0, len(q), 1024):
             part = slice(at, at + 1024)
-            for i, best in zip(qids[part].tolist(), tree.search(qids[part], q[part], kth[part], k), strict=True):
-                found += [(i, n, s) for s, n in best]
-        return pd.DataFrame(found, columns=["qid", "vec_id", "score"]).astype("int64")
+            for c, i, best in zip(qkeys[part].tolist(), qids[part].tolist(), tree.search(qids[part], q[part], kth[part], k), strict=True):
+                found += [(c, i, n, s) for s, n in best]
+        return pd.DataFrame(found, columns=["qkey", "qid", "vec_id", "score"]).astype("int64")
 
     def search(asked: DataFrame, over: DataFrame) -> DataFrame:
         key = ["dim", "shard", "group"]
-        return over.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(answer, "qid bigint, vec_id bigint, score bigint")
+        return over.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(answer, "qkey bigint, qid bigint, vec_id bigint, score bigint")
 
     trees = rows.select("dim", shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("group"), "id", "vec")
     worst = F.lit(-(2**63)).alias("kth")
-    home = cut(search(queries.select("dim", F.col("own").alias("shard"), "group", "qid", "vec", worst), trees), "kd-home")
-    kth = home.groupBy("qid").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
-    other = queries.join(kth, "qid", "left").select("dim", "own", "group", "qid", "vec", F.coalesce("kth", F.lit(-(2**63))).alias("kth"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
-    other = other.where("shard <> own").select("dim", "shard", "group", "qid", "vec", "kth")
+    home = cut(search(queries.select("dim", F.col("own").alias("shard"), "group", "qkey", "qid", "vec", worst), trees), "kd-home")
+    kth = home.groupBy("qkey").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+    other = queries.join(kth, "qkey", "left").select("dim", "own", "group", "qkey", "qid", "vec", F.coalesce("kth", F.lit(-(2**63))).alias("kth"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    other = other.where("shard <> own").select("dim", "shard", "group", "qkey", "qid", "vec", "kth")
     found = home.unionByName(search(other, trees))
-    best = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("qkey").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return found.select(F.col("qid").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = found.select(F.col("qid").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return named_ids(found, places, "query_id", "vec_id")

@@ -86,19 +86,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _BLANK = "' ' || chr(9) || chr(11) || chr(12) || chr(13)"
 
-#: Windows of three content lines; a line goes if a window over it stands at an earlier position too.
+#: Windows of three content lines, or of one or two with 50 words; a line goes if a window over it stands at an earlier position too.
 _OP7 = f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
   FROM documents WHERE text IS NOT NULL),
-content AS (SELECT doc_id, i, trim(line, {_BLANK}) AS t FROM lines WHERE trim(line, {_BLANK}) <> ''),
-windows AS (
-  SELECT doc_id, i AS first, lead(i, 2) OVER w AS last,
-         t || chr(10) || lead(t, 1) OVER w || chr(10) || lead(t, 2) OVER w AS whole
+content AS (
+  SELECT *, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS n
+  FROM (SELECT doc_id, i, trim(line, {_BLANK}) AS t FROM lines) WHERE t <> ''),
+near AS (
+  SELECT doc_id, i, t, n, lead(i, 1) OVER w AS i1, lead(t, 1) OVER w AS t1, lead(n, 1) OVER w AS n1,
+         lead(i, 2) OVER w AS i2, lead(t, 2) OVER w AS t2
   FROM content WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+windows AS (
+  SELECT doc_id, i AS first, i AS last, t AS whole FROM near WHERE n >= 50
+  UNION ALL
+  SELECT doc_id, i, i1, t || chr(10) || t1 FROM near WHERE n + n1 >= 50
+  UNION ALL
+  SELECT doc_id, i, i2, t || chr(10) || t1 || chr(10) || t2 FROM near WHERE i2 IS NOT NULL),
 later AS (
   SELECT doc_id, first, last FROM (
-    SELECT *, row_number() OVER (PARTITION BY whole ORDER BY doc_id, first) AS n FROM windows WHERE last IS NOT NULL) WHERE n > 1),
+    SELECT *, row_number() OVER (PARTITION BY whole ORDER BY doc_id, first) AS n FROM windows) WHERE n > 1),
 gone AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS i FROM later),
 kept AS (
   SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed,

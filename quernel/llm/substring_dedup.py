@@ -4,7 +4,7 @@ A window's cells in the sketch are chosen by its least 26-word shingle hash: equ
 sketch overestimates the number of documents that hold a window, and neighbouring windows mostly share their cells, so
 a document updates about one cell per 14 words. First pass: every partition counts its documents' cells; the counts are
 merged by ranges of cells. Second pass: windows estimated in one document only are dropped; the others are grouped
-exactly, by 96 bits of hash of the word sequence. A window repeated in two documents has a count of at least two in
+exactly, by 96 bits of hash of the word sequence (words by 64 bits, long ones by a cryptographic digest). A window repeated in two documents has a count of at least two in
 every row of the sketch, so none is lost; a sketch that is too full only lets more windows through to the grouping.
 """
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import cut, tasks
+from quernel.llm.common import cut, named_ids, numbered_ids, tasks
 from quernel.llm.word_hash import mix, rolling, slices, sliding_min, word_hashes
 
 _BASES = (0x5851F42D4C957F2D, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
@@ -235,11 +235,11 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A word goes if it is covered by a window of `span` words whose word sequence also starts in a document with a
     smaller id; windows are those of the input.
     Defined results: a null text has no words; texts shorter than a window stay; a row with a null id neither removes
-    nor loses words; rows that share an id do not remove each other's words; repeated rows give equal rows; an empty
-    table gives no rows; other columns are not read.
+    nor loses words; rows that share an id do not remove each other's words; repeated rows give equal rows; ids that are
+    not integers are ordered as Spark sorts them; an empty table gives no rows; other columns are not read.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
+    docs, places = numbered_ids(docs.select(id_col, text_col), id_col, "window-ids")
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
     found = repeated_windows(docs, span, **params)
     joined = docs.join(found, ["doc_id", "key"], "left").select("doc_id", "text", "at")
 
@@ -253,5 +253,5 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     out = joined.mapInArrow(work, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
-    cols = [F.col("doc_id").cast(kind).alias(id_col), "n_words", "n_removed", "kept_sha256"]
-    return out.select(*cols, "kept") if with_text else out.select(*cols)
+    cols = [F.col("doc_id").alias(id_col), "n_words", "n_removed", "kept_sha256"]
+    return named_ids(out.select(*cols, "kept") if with_text else out.select(*cols), places, id_col)

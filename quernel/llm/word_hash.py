@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,8 @@ from quernel.llm.common import per_process
 
 #: Bytes that are hashed at once; longer texts go in pieces cut at white space where there is any.
 PIECE = 1 << 19
+#: Words of more bytes get a cryptographic digest.
+LONG = 128
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -58,7 +61,10 @@ def _piece(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
     h = (sums[end] - sums[start]) * down[start]
-    return mix(h ^ ((end - start).astype(np.uint64) << np.uint64(48))), start
+    h = mix(h ^ ((end - start).astype(np.uint64) << np.uint64(48)))
+    for k in np.flatnonzero(end - start > LONG).tolist():  # polynomials modulo 2^64 have colliding strings of 2^10 bytes
+        h[k] = int.from_bytes(blake2b(data[start[k] : end[k]], digest_size=8).digest(), "little")
+    return h, start
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

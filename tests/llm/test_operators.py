@@ -350,6 +350,29 @@ def test_windows_with_a_full_sketch(spark, odd, monkeypatch):
     assert sorted((tuple(r) for r in sd.dedup_windows(odd).collect()), key=str) == brute_windows(rows)
 
 
+def _thue_morse(n, a, b):
+    return "".join(b if k.bit_count() % 2 else a for k in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_polynomials_confuse(spark, n):
+    rest = " ".join(f"w{k}" for k in range(49))
+    rows = [(1, f"{_thue_morse(n, 'a', 'b')} {rest}"), (2, f"{_thue_morse(n, 'b', 'a')} {rest}"), (3, f"{_thue_morse(n, 'b', 'a')} {rest}")]
+    got = sorted(tuple(r) for r in sd.dedup_windows(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_windows(rows) and [r[2] for r in got] == [0, 0, 50]
+
+
+def test_windows_and_vectors_with_text_ids(spark):
+    rng = np.random.default_rng(1)
+    a, b = (" ".join(f"w{x}" for x in rng.integers(0, 999, 70)) for _ in range(2))
+    rows = [("k10", a), ("k9", a + " " + b), ("k1", b), (None, a), ("k2", None)]
+    got = sorted((tuple(r) for r in sd.dedup_windows(spark.createDataFrame(rows, "doc_id string, text string")).collect()), key=str)
+    assert got == brute_windows(rows)
+    rows = [("v9", [1.0, 2.0], 1), ("v10", [1.0, 2.1], 1), ("v2", [1.0, -2.0], 1), (None, [1.0, 2.0], 1)]
+    got = sorted((tuple(r) for r in cf.near_vectors(spark.createDataFrame(rows, "vec_id string, embedding array<float>, label int"), passes=60.0).collect()), key=str)
+    assert got == brute_links(rows)
+
+
 def test_windows_empty(empty):
     assert sd.dedup_windows(empty).count() == 0
 
@@ -373,6 +396,16 @@ def test_top_k_against_brute_force(spark):
         assert got == sorted(want)
 
 
+def test_top_k_of_empty_vectors_text_ids_and_shared_ids(spark):
+    rows = [("b", []), ("a", []), ("c", [1.0, 2.0]), ("e", [1.0, 1.0]), ("d", [1.0, 1.0]), ("f", [0.5, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<float>")
+    got = sorted(tuple(r) for r in kt.top_k(df, F.col("vec_id").isin("b", "c"), k=2).collect())
+    assert got == [("b", 1, "a", 0), ("c", 1, "d", 3 * 65536), ("c", 2, "e", 3 * 65536)]
+    shared = spark.createDataFrame([(4, [1.0]), (4, [-1.0]), (5, [2.0]), (6, [-2.0])], "vec_id long, embedding array<float>")
+    got = sorted(tuple(r)[1:] for r in kt.top_k(shared, F.col("vec_id") == 4, k=2).collect())
+    assert got == sorted([(1, 5, 2 * 65536), (2, 6, -2 * 65536), (1, 6, 2 * 65536), (2, 5, -2 * 65536)])
+
+
 def test_top_k_empty(spark):
     assert kt.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 2 == 0).count() == 0
 
@@ -385,22 +418,29 @@ def test_products_of_large_numbers():
 # --- op7
 
 
-def brute_lines(rows, span=3):
+def brute_lines(rows, span=3, least_words=50):
+    """Line by line: gone if a run over it that is long enough stands earlier; runs are all sizes, compared as text."""
     content = []
-    for k, (d, t) in enumerate(rows):
+    for d, t in rows:
         lines = [] if t is None else t.split("\n")
-        content.append((d, [(i, x.strip(" \t\x0b\x0c\r")) for i, x in enumerate(lines) if x.strip(" \t\x0b\x0c\r")]))
+        content.append([(i, x.strip(" \t\x0b\x0c\r")) for i, x in enumerate(lines) if x.strip(" \t\x0b\x0c\r")])
+
+    def windows(c):
+        for wide in range(1, span + 1):
+            for i in range(len(c) - wide + 1):
+                if wide == span or sum(len(re.findall(WORD, x)) for _, x in c[i : i + wide]) >= least_words:
+                    yield tuple(x for _, x in c[i : i + wide]), c[i][0], c[i + wide - 1][0]
+
     first = {}
-    for d, c in content:
-        for i in range(len(c) - span + 1 if d is not None else 0):
-            k = tuple(x for _, x in c[i : i + span])
-            first[k] = min(first.get(k, (d, c[i][0])), (d, c[i][0]))
+    for (d, _), c in zip(rows, content, strict=True):
+        for k, a, _ in windows(c) if d is not None else ():
+            first[k] = min(first.get(k, (d, a)), (d, a))
     out = []
-    for (d, t), (_, c) in zip(rows, content, strict=True):
+    for (d, t), c in zip(rows, content, strict=True):
         lines, gone = [] if t is None else t.split("\n"), set()
-        for i in range(len(c) - span + 1 if d is not None else 0):
-            if first[tuple(x for _, x in c[i : i + span])] < (d, c[i][0]):
-                gone |= set(range(c[i][0], c[i + span - 1][0] + 1))
+        for k, a, b in windows(c) if d is not None else ():
+            if first[k] < (d, a):
+                gone |= set(range(a, b + 1))
         out.append((d, None if t is None else "\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone)))
     return sorted(out, key=str)
 
@@ -410,9 +450,13 @@ def test_lines_against_brute_force(spark, odd, empty):
     pool = [f"line {k}" for k in range(6)] + ["", "  "]
     rows = [(k, "\n".join(rng.choice(pool, rng.integers(0, 14)))) for k in range(60)] + [(r["doc_id"], r["text"]) for r in odd.collect() if r["doc_id"] not in (13, 14)]
     rows = [(d, t) for k, (d, t) in enumerate(rows) if k < 60 or d is None or d > 100] + [(200, None), (201, "a\nb\nc\r\nx\na\n\nb\n c")]
+    long = [" ".join(rng.choice(pool[:6], 20)) for _ in range(4)]  # 40 words a line
+    rows += [(300, f"q\n{long[0]}\n{long[1]}\nr"), (301, f"s\n{long[0]}\n{long[1]}\nt"), (302, long[2]), (303, long[2]), (304, long[3] + " " + long[2]), (305, "u\n" + long[3] + " " + long[2] + "\nv")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_lines", F.lit(7))
     got = sorted(((r["doc_id"], r["text"], r["_n_lines"], r["n_removed"]) for r in ld.dedup_lines(df).collect()), key=str)
     assert got == brute_lines(rows)
+    gone = {r[0]: r[3] for r in got}
+    assert gone[301] == 2 and gone[303] == 0 and gone[305] == 1  # two lines of 40 words, one of 40, one of 80
     assert ld.dedup_lines(empty).count() == 0
 
 
