@@ -1,57 +1,95 @@
 """Licence scans with DataFrame functions only.
 
-Every line of a file, and the file as a whole, is compared with licence templates by the cosine of sparse TF-IDF
-vectors. Document frequencies of the templates' terms come from all files. A unit is compared only if it has one of the
-key terms: the heaviest terms of a template, as many as leave the rest of its vector shorter than the threshold, so by
-the Cauchy-Schwarz inequality no unit without them can reach the threshold. A file whose whole text matches a template
-is a licence file of its directory; files without a notice of their own inherit from the nearest ancestor directory
-that has one, by joins on paths.
+A file is compared with licence templates, which are one-line notices, headers and whole licence texts, by the cosine of
+sparse TF-IDF vectors. Its units are runs of consecutive lines: from every line on as many as have about the words of a
+template, so that a notice wrapped over lines of a comment is one unit, whatever follows; every line by itself; and the
+file as a whole. Comment marks are no words, and lines that only name a copyright holder are left out. Document
+frequencies of the templates' terms come from all files. Files and units are compared only if they have terms of a
+template that carry at least the threshold's part of its length: by the Cauchy-Schwarz inequality no others can reach
+it. A file whose whole text matches a template, or that is named as licence files are and has any match, is a licence
+file of its directory; files without a notice of their own inherit from the nearest ancestor directory that has one, by
+joins on paths.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.llm.common import cut, fresh
 
-# Public licence notices, by SPDX identifier.
+# Public licence notices, headers and texts, by SPDX identifier.
+_GNU = "This program is free software{c} you can redistribute it and/or modify it under the terms of the {g} as published by the Free Software Foundation{d} either version {v} of the License, or (at your option) any later version."
+_AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "AGPL-3.0": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        _GNU.format(c=":", d=",", g="GNU Affero General Public License", v=3),
         "Licensed under the GNU Affero General Public License, version 3.",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
     ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
     ),
+    "BSD-2-Clause": (_BSD + " " + _AS_IS, "Licensed under the BSD 2-Clause License."),
     "BSD-3-Clause": (
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Licensed under the BSD 3-Clause License.",
+        _BSD + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _AS_IS,
     ),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        _GNU.format(c=";", d=";", g="GNU General Public License", v=2),
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        _GNU.format(c=":", d=",", g="GNU General Public License", v=3),
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    ),
+    "ISC": (
+        'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    ),
+    "LGPL-3.0": (
+        "Licensed under the GNU Lesser General Public License, version 3.",
+        _GNU.format(c=":", d=",", g="GNU Lesser General Public License", v=3),
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
     ),
-    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.",),
     "MIT": (
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "Mozilla Public License Version 2.0 1. Definitions",
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
-    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
 THRESHOLD = 0.75
+#: How much longer than its template a run of lines may be.
+LONGER = 1.1
 _SPLIT = "[^a-z0-9]+"
+#: Lines that name a holder or a year are no part of a licence's text.
+COPYRIGHT = "^[^a-z0-9]*(copyright[^a-z0-9]+(c[^a-z0-9]|[0-9]{4})|\\(c\\)|©|all rights reserved[^a-z0-9]*$)"
+#: Names of licence files.
+LICENSE_FILE = "(?i)(^|/)(un)?(licen[cs]e|copying|notice)(\\.[a-z]+)?$"
 
 
 def _terms(text: str) -> dict[str, int]:
@@ -67,54 +105,100 @@ def template_rows(templates: Mapping[str, Sequence[str]] = TEMPLATES) -> list[tu
     return [(i, name, t, n) for i, (name, text) in enumerate(flat) for t, n in sorted(_terms(text).items())]
 
 
-def _weighted(rows: list[tuple[int, str, str, int]], df: Mapping[str, int], n_files: int, threshold: float) -> tuple[list, list[str], float]:
-    """Unit vectors of the templates, their key terms, and the weight of a term that no template has."""
+def line_caps(templates: Mapping[str, Sequence[str]] = TEMPLATES) -> list[int]:
+    """The most words of a run of lines, for each class of templates of like length; ascending."""
+    caps: list[int] = []
+    for n in sorted({sum(_terms(t).values()) for texts in templates.values() for t in texts}, reverse=True):
+        if not caps or n * LONGER * LONGER < caps[-1]:
+            caps.append(int(n * LONGER))
+    return caps[::-1]
+
+
+def _weighted(rows: list[tuple[int, str, str, int]], df: Mapping[str, int], n_files: int) -> tuple[list, float]:
+    """Unit vectors of the templates as (template, licence, term, idf, weight), and the idf of a term that no template has."""
     idf = {t: math.log((n_files + 1) / (df.get(t, 0) + 1)) + 1 for _, _, t, _ in rows}
     norm: dict[int, float] = {}
     for i, _, t, n in rows:
         norm[i] = norm.get(i, 0.0) + (n * idf[t]) ** 2
-    vectors = [(i, name, t, idf[t], n * idf[t] / math.sqrt(norm[i])) for i, name, t, n in rows]
-    keys: set[str] = set()
-    for i in norm:
+    return [(i, name, t, idf[t], n * idf[t] / math.sqrt(norm[i])) for i, name, t, n in rows], math.log(n_files + 1) + 1
+
+
+def _keys(vectors: list, threshold: float) -> dict[int, list[tuple[str, float]]]:
+    """For each template its terms with the squares of their weights, heaviest first."""
+    of: dict[int, list[tuple[str, float]]] = {}
+    for i, _, t, _, w in sorted(vectors, key=lambda v: (v[0], -v[4], v[2])):
+        of.setdefault(i, []).append((t, w * w))
+    return of
+
+
+def _tokens(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), _SPLIT), lambda t: t != "")
+
+
+def _within_reach(present: Column, of: Mapping[int, list[tuple[str, float]]], threshold: float) -> tuple[Column, Column]:
+    """Whether `present` has a key term at all, and the templates whose terms in it carry enough weight.
+
+    A template's key terms are its heaviest, as many as leave the others together short of the threshold.
+    """
+    least, keys = (threshold * 0.999) ** 2, set()
+    for terms in of.values():
         rest = 1.0
-        for w, t in sorted(((w, t) for j, _, t, _, w in vectors if j == i), reverse=True):
-            if rest < (threshold * 0.999) ** 2:
+        for t, w2 in terms:
+            if rest < least:
                 break
             keys.add(t)
-            rest -= w * w
-    return vectors, sorted(keys), math.log(n_files + 1) + 1
+            rest -= w2
+    rows = json.dumps([{"t": t, "k": [{"t": t, "w": w} for t, w in terms]} for _, terms in of.items()])
+    table = F.from_json(F.lit(rows), "array<struct<k:array<struct<t:string,w:double>>>>")
 
+    def enough(row: Column) -> Column:
+        return F.aggregate(row["k"], F.lit(0.0), lambda a, k: a + F.when(F.array_contains(present, k["t"]), k["w"]).otherwise(0.0)) >= least
 
-def _tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), _SPLIT), lambda t: t != "")
+    return F.arrays_overlap(present, F.array(*[F.lit(t) for t in sorted(keys)])), F.exists(table, enough)
 
 
 def notices(files: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """fid, line (0 for the whole file), license, cosine: the best template of every unit that reaches the threshold.
+    """fid, line, last, license, cosine: the best template of every unit that reaches the threshold.
 
-    files: fid (not null, the same for equal files only), text. Ties go to the template that is first by licence and order.
+    line, last: the first and last line of a unit; both 0 for the whole file. files: fid (not null, the same for equal
+    files only), text. Ties go to the template that is first by licence and order.
     """
     spark = files.sparkSession
     rows = template_rows(templates)
     terms = F.array(*[F.lit(t) for t in sorted({t for _, _, t, _ in rows})])
     present = files.select(F.array_intersect(terms, _tokens(F.coalesce("text", F.lit("")))).alias("present"))
+    found = present.select(F.explode("present").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()  # one row a template term
     n_files = files.count()
-    df = {r["term"]: r["n"] for r in present.select(F.explode("present").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}  # one row a template term
-    vectors, keys, other = _weighted(rows, df, n_files, threshold)
-    key_set = F.array(*[F.lit(t) for t in keys])
-    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct((i + 1).alias("line"), _tokens(x).alias("terms")))
-    units = files.select("fid", "text", _tokens(F.col("text")).alias("terms")).where(F.arrays_overlap("terms", key_set))
-    units = units.select("fid", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("line"), "terms")), F.filter(lines, lambda u: F.arrays_overlap(u["terms"], key_set)))).alias("u"))
-    counts = units.select("fid", "u.line", F.explode("u.terms").alias("term")).groupBy("fid", "line", "term").agg(F.count("*").alias("n"))
+    vectors, other = _weighted(rows, {r["term"]: r["n"] for r in found}, n_files)
+    some, enough = _within_reach(F.col("present"), _keys(vectors, threshold), threshold)
+    near = files.where("text is not null").select("fid", "text", F.array_intersect(terms, _tokens(F.col("text"))).alias("present")).where(some).where(enough)
+    near = cut(near.select("fid", "text").dropDuplicates(["fid"]), "license-near")
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct((i + 1).alias("line"), F.when(F.lower(x).rlike(COPYRIGHT), F.array().cast("array<string>")).otherwise(_tokens(x)).alias("terms")))
+    lines = F.filter(lines, lambda u: F.size(u["terms"]) > 0)
+    end = F.array(F.struct(F.lit(0).alias("line"), F.array().cast("array<string>").alias("terms")))  # where the last run ends
+    lines = near.select("fid", F.posexplode(F.concat(lines, end)).alias("j", "u")).select("fid", "j", "u.*")
+    start = F.coalesce(F.sum(F.size("terms")).over(Window.partitionBy("fid").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lines = cut(lines.withColumn("start", start), "license-lines")
+    runs: list[Column] = []
+    for cap in [0, *line_caps(templates)]:
+        reach = F.collect_list(F.struct("line", "terms")).over(Window.partitionBy("fid").orderBy("start").rangeBetween(0, cap))
+        runs.append(F.slice(reach, F.lit(1), F.greatest(F.size(reach) - 1, F.lit(1))))  # the last one found does not end within the cap
+    units = lines.select("fid", "line", *[r.alias(f"r{k}") for k, r in enumerate(runs)]).where("line > 0")
+    units = units.select("fid", "line", F.explode(F.array_distinct(F.array(*[f"r{k}" for k in range(len(runs))]))).alias("r"))
+    units = units.select("fid", "line", F.element_at("r.line", -1).alias("last"), F.flatten("r.terms").alias("terms"))
+    whole = lines.groupBy("fid").agg(F.flatten(F.collect_list("terms")).alias("terms")).select("fid", F.lit(0).alias("line"), F.lit(0).alias("last"), "terms")
+    units = units.unionByName(whole).withColumn("present", F.array_intersect(terms, F.col("terms"))).where(some).where(enough)
+    counts = units.select("fid", "line", "last", F.explode("terms").alias("term")).groupBy("fid", "line", "last", "term").agg(F.count("*").alias("n"))
     weights = spark.createDataFrame([(t, float(w)) for t, w in sorted({(t, idf) for _, _, t, idf, _ in vectors})], "term string, idf double")
     counts = counts.join(F.broadcast(weights), "term", "left")  # the templates' terms: bounded
     counts = cut(counts.withColumn("w", F.col("n") * F.coalesce("idf", F.lit(other))), "license-units")
-    norms = counts.groupBy("fid", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    unit = ["fid", "line", "last"]
+    norms = counts.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     table = spark.createDataFrame([(t, i, name, float(w)) for i, name, t, _, w in vectors], "term string, template int, license string, tw double")
-    dots = counts.where("idf is not null").join(F.broadcast(table), "term").groupBy("fid", "line", "template", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    scored = dots.join(norms, ["fid", "line"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= threshold)
+    dots = counts.where("idf is not null").join(F.broadcast(table), "term").groupBy(*unit, "template", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    scored = dots.join(norms, unit).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= threshold)
     best = F.max_by(F.struct("license", "cosine"), F.struct("cosine", -F.col("template")))
-    return scored.groupBy("fid", "line").agg(best.alias("b")).select("fid", "line", "b.license", "b.cosine")
+    return scored.groupBy(*unit).agg(best.alias("b")).select(*unit, "b.license", "b.cosine")
 
 
 def directory(path: Column) -> Column:
@@ -125,22 +209,26 @@ def directory(path: Column) -> Column:
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templates: Mapping[str, Sequence[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """files' columns but the text, with license, origin ('notice', 'inherited' or null), cosine and found_in.
 
-    A file's own licence is its best matching line or whole text; found_in is the path it was found in. A file whose
-    whole text matches is a licence file; of several in a directory the best match counts, then the first path.
+    A file's own licence is its best matching unit, the first of equals (the whole text, then the earliest and shortest
+    run); found_in is the path it was found in. A file whose whole text matches, or that has a match and the name of a
+    licence file, is one; of several in a directory the best match counts, then the first path.
     Defined results: a null or empty text has no licence of its own, but inherits; a null path neither gives nor inherits;
     repeated rows are files of their own; a path without a slash is in the top directory, which is the last ancestor of
-    all; an empty table gives no rows.
+    all; equal cosines go to the template that is first by licence and order; texts of any length are read whole; an
+    empty table gives no rows.
     """
     rest = [c for c in files.columns if c != text_col]
     names = [fresh(files.drop(text_col), c) for c in ("license", "origin", "cosine", "found_in")]
-    fid = F.xxhash64(path_col, text_col).alias("fid")
+    both = F.concat(F.hex(F.xxhash64(path_col, text_col)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), text_col, path_col)))
+    fid = both.alias("fid")  # two hashes: one may be shared by different files of a large corpus
     found = cut(notices(files.select(fid, F.col(text_col).alias("text")), templates, threshold), "license-notices")
     own = found.groupBy("fid").agg(
-        F.max_by(F.struct("license", "cosine"), F.struct("cosine", -F.col("line"))).alias("own"),
-        F.max(F.when(F.col("line") == 0, F.struct("cosine", "license"))).alias("whole"),
+        F.max_by(F.struct("license", "cosine"), F.struct("cosine", -F.col("line"), -F.col("last"))).alias("own"),
+        F.max(F.when(F.col("line") == 0, F.struct("license", "cosine"))).alias("whole"),
     )
     kept = files.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.col(path_col).alias("path"), directory(F.col(path_col)).alias("dir"), fid)
     kept = cut(kept.join(own, "fid", "left").drop("fid"), "license-files")
+    kept = kept.withColumn("whole", F.when(F.col("path").rlike(LICENSE_FILE), F.col("own")).otherwise(F.col("whole")))
     named = kept.where("whole is not null and path is not null")
     of_dir = named.groupBy("dir").agg(F.min(F.struct((-F.col("whole.cosine")).alias("c"), "path", F.col("whole.license").alias("license"))).alias("f"))
     parts = F.split("dir", "/")

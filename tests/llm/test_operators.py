@@ -202,6 +202,87 @@ def test_license_scan(spark):
     assert ls.scan(df.limit(0)).count() == 0
 
 
+def _wrapped(text, prefix="", width=60):
+    import textwrap
+
+    return "\n".join(prefix + x for x in textwrap.wrap(text, width))
+
+
+def _real_files():
+    """Licence files as they are shipped, and sources with headers wrapped in comments."""
+    t = ls.TEMPLATES
+    mit = "MIT License\n\nCopyright (c) 2021 Jane Q. Public <jane@example.org>\n\n" + _wrapped(t["MIT"][3])
+    bsd = "Copyright 2019 The Widget Authors\nAll rights reserved.\n\n" + _wrapped(t["BSD-3-Clause"][3], width=72)
+    apache = "   " + "\n   ".join(["Apache License", "Version 2.0, January 2004", "http://www.apache.org/licenses/", "", "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION", "", "1. Definitions."])
+    apache += "\n" + _wrapped('"Licensor" shall mean the owner or entity authorized by that owner that is granting the rights described herein. ' * 40)
+    gpl = "/* widget.c\n" + _wrapped(t["GPL-3.0"][1], " * ", 68) + "\n */\n" + "int main(void) { return frobnicate(7); }\n" * 80
+    code = "def area(w, h):\n    return w * h\n" * 30
+    return {"mit/LICENSE": mit, "mit/src/a.py": code, "bsd/LICENSE.txt": bsd, "bsd/src/deep/b.py": code, "apache/LICENSE": apache, "apache/c.py": code, "gpl/widget.c": gpl, "gpl/d.py": code, "gpl/COPYING": "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\n" + _wrapped("Everyone is permitted to copy and distribute verbatim copies of this license document. " * 60), "top/notes.md": "mit lizenz words of gardens\n" * 9}
+
+
+def test_license_scan_of_whole_licence_files_and_wrapped_headers(spark):
+    df = spark.createDataFrame(list(_real_files().items()), "path string, text string")
+    out = {r["path"]: (r["license"], r["origin"], r["found_in"]) for r in ls.scan(df).collect()}
+    assert out["mit/LICENSE"] == ("MIT", "notice", "mit/LICENSE") and out["mit/src/a.py"] == ("MIT", "inherited", "mit/LICENSE")
+    assert out["bsd/LICENSE.txt"][:2] == ("BSD-3-Clause", "notice") and out["bsd/src/deep/b.py"] == ("BSD-3-Clause", "inherited", "bsd/LICENSE.txt")
+    assert out["apache/LICENSE"][:2] == ("Apache-2.0", "notice") and out["apache/c.py"] == ("Apache-2.0", "inherited", "apache/LICENSE")
+    assert out["gpl/widget.c"][:2] == ("GPL-3.0", "notice") and out["gpl/d.py"] == ("GPL-3.0", "inherited", "gpl/COPYING")
+    assert out["top/notes.md"] == (None, None, None)
+
+
+def _brute_notice(files):
+    """Best (licence, cosine) of each file over all runs of lines, plainly in Python."""
+    import math
+
+    rows, n = ls.template_rows(), len(files)
+    terms = [ls._terms(t or "") for _, t in files]
+    idf = {t: math.log((n + 1) / (sum(t in x for x in terms) + 1)) + 1 for _, _, t, _ in rows}
+    flat = [(name, ls._terms(text)) for name in sorted(ls.TEMPLATES) for text in ls.TEMPLATES[name]]
+
+    def cosine(a, b):
+        w = lambda x: {t: k * idf.get(t, math.log(n + 1) + 1) for t, k in x.items()}
+        a, b = w(a), w(b)
+        return round(sum(v * b.get(t, 0) for t, v in a.items()) / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values())), 6)
+
+    out = {}
+    for path, text in files:
+        lines = [ls._terms(x) for x in (text or "").split("\n") if not re.search(ls.COPYRIGHT, x.lower())]
+        lines = [x for x in lines if x]
+        units = [lines] if lines else []
+        for j in range(len(lines)):
+            for cap in (0, *ls.line_caps()):
+                e = j + 1
+                while e < len(lines) and sum(sum(x.values()) for x in lines[j : e + 1]) <= cap:
+                    e += 1
+                units.append(lines[j:e])
+        best = (0.0, None)
+        for u in units:
+            total = {}
+            for x in u:
+                for t, k in x.items():
+                    total[t] = total.get(t, 0) + k
+            for name, t in flat:
+                c = cosine(total, t)
+                if c >= ls.THRESHOLD and c > best[0]:
+                    best = (c, name)
+        out[path] = best
+    return out
+
+
+def test_license_scan_against_brute_force(spark, sf):
+    files = [(f"{i}/{k}", t) for i, (k, t) in enumerate(_real_files().items())]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 1500").select("doc_id", "text").collect()
+    files += [(f"d/{r['doc_id']}", r["text"]) for r in docs]
+    files += [("ties/x", "Released under the MIT License.\nReleased under the MIT License."), ("e/empty", ""), ("e/null", None), ("e/long", "lorem ipsum " * 30000 + "\nReleased under the MIT License.")]
+    want = _brute_notice(files)
+    got = {r["path"]: (r["cosine"], r["license"]) for r in ls.scan(spark.createDataFrame(files, "path string, text string")).where("origin = 'notice'").collect()}
+    for path, (cosine, name) in want.items():
+        if name is None:
+            assert path not in got
+        else:
+            assert got[path][1] == name and got[path][0] == pytest.approx(cosine, abs=2e-6)
+
+
 # --- op3
 
 
