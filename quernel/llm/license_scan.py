@@ -1,19 +1,18 @@
 """Licence scans with DataFrame functions only.
 
 A file is compared with licence templates, which are one-line notices, headers and whole licence texts, by the cosine of
-sparse TF-IDF vectors. Its units are runs of consecutive lines: from every line on as many as have about the words of a
-template, so that a notice wrapped over lines of a comment is one unit, whatever follows; every line by itself; and the
-file as a whole. Comment marks are no words, and lines that only name a copyright holder are left out. Document
-frequencies of the templates' terms come from all files. Files and units are compared only if they have terms of a
-template that carry at least the threshold's part of its length: by the Cauchy-Schwarz inequality no others can reach
-it. A file whose whole text matches a template, or that is named as licence files are and has any match, is a licence
+sparse TF-IDF vectors. A template is compared with the file as a whole, with every line by itself, and with runs of
+lines: from every line that has a term of it on, as many lines as have about its number of words, so that a notice
+wrapped over the lines of a comment is one unit, whatever follows. Comment marks are no words, and lines that only name
+a copyright holder are left out. Document frequencies of the templates' terms come from all files. A comparison is made
+only if the terms in common carry at least the threshold's part of the template's length: by the Cauchy-Schwarz
+inequality no other can reach it. A file whose whole text matches a template, or that is named as licence files are and has any match, is a licence
 file of its directory; files without a notice of their own inherit from the nearest ancestor directory that has one, by
 joins on paths.
 """
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Mapping, Sequence
 
@@ -106,12 +105,13 @@ def template_rows(templates: Mapping[str, Sequence[str]] = TEMPLATES) -> list[tu
 
 
 def line_caps(templates: Mapping[str, Sequence[str]] = TEMPLATES) -> list[int]:
-    """The most words of a run of lines, for each class of templates of like length; ascending."""
+    """For each template the most words of a run of lines that is compared with it; templates of like length share one."""
+    lengths = [sum(_terms(t).values()) for name in sorted(templates) for t in templates[name]]
     caps: list[int] = []
-    for n in sorted({sum(_terms(t).values()) for texts in templates.values() for t in texts}, reverse=True):
+    for n in sorted(lengths, reverse=True):
         if not caps or n * LONGER * LONGER < caps[-1]:
             caps.append(int(n * LONGER))
-    return caps[::-1]
+    return [min(c for c in caps if c >= n) for n in lengths]
 
 
 def _weighted(rows: list[tuple[int, str, str, int]], df: Mapping[str, int], n_files: int) -> tuple[list, float]:
@@ -123,38 +123,34 @@ def _weighted(rows: list[tuple[int, str, str, int]], df: Mapping[str, int], n_fi
     return [(i, name, t, idf[t], n * idf[t] / math.sqrt(norm[i])) for i, name, t, n in rows], math.log(n_files + 1) + 1
 
 
-def _keys(vectors: list, threshold: float) -> dict[int, list[tuple[str, float]]]:
-    """For each template its terms with the squares of their weights, heaviest first."""
-    of: dict[int, list[tuple[str, float]]] = {}
-    for i, _, t, _, w in sorted(vectors, key=lambda v: (v[0], -v[4], v[2])):
-        of.setdefault(i, []).append((t, w * w))
-    return of
-
-
-def _tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), _SPLIT), lambda t: t != "")
-
-
-def _within_reach(present: Column, of: Mapping[int, list[tuple[str, float]]], threshold: float) -> tuple[Column, Column]:
-    """Whether `present` has a key term at all, and the templates whose terms in it carry enough weight.
-
-    A template's key terms are its heaviest, as many as leave the others together short of the threshold.
-    """
-    least, keys = (threshold * 0.999) ** 2, set()
-    for terms in of.values():
+def _keys(vectors: list, least: float) -> list[str]:
+    """The heaviest terms of each template, as many as leave the squares of its others together below `least`."""
+    keys: set[str] = set()
+    for i in {v[0] for v in vectors}:
         rest = 1.0
-        for t, w2 in terms:
+        for w, t in sorted(((w, t) for j, _, t, _, w in vectors if j == i), reverse=True):
             if rest < least:
                 break
             keys.add(t)
-            rest -= w2
-    rows = json.dumps([{"t": t, "k": [{"t": t, "w": w} for t, w in terms]} for _, terms in of.items()])
-    table = F.from_json(F.lit(rows), "array<struct<k:array<struct<t:string,w:double>>>>")
+            rest -= w * w
+    return sorted(keys)
 
-    def enough(row: Column) -> Column:
-        return F.aggregate(row["k"], F.lit(0.0), lambda a, k: a + F.when(F.array_contains(present, k["t"]), k["w"]).otherwise(0.0)) >= least
 
-    return F.arrays_overlap(present, F.array(*[F.lit(t) for t in sorted(keys)])), F.exists(table, enough)
+def _tokens(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), _SPLIT), lambda t: t != "")
+
+
+def _lines(files: DataFrame, caps: Sequence[int]) -> DataFrame:
+    """fid, j (from 0), line, terms, start: the words before the line, and ends: for each cap the last j of a run from here."""
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct((i + 1).alias("line"), F.when(~F.lower(x).rlike(COPYRIGHT), _tokens(x)).alias("terms")))
+    lines = F.filter(lines, lambda u: F.size(u["terms"]) > 0)
+    end = F.array(F.struct(F.lit(0).alias("line"), F.array().cast("array<string>").alias("terms")))  # where the last run ends
+    lines = files.select("fid", F.posexplode(F.concat(lines, end)).alias("j", "u")).select("fid", "j", "u.*")
+    before = Window.partitionBy("fid").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("start", F.coalesce(F.sum(F.size("terms")).over(before), F.lit(0)).cast("long"))
+    reach = [F.max("j").over(Window.partitionBy("fid").orderBy("start").rangeBetween(0, cap)) for cap in caps]
+    ends = F.array(*[F.greatest(r - 1, "j") for r in reach])  # the last line that starts within the cap ends beyond it
+    return cut(lines.withColumn("ends", ends).where("line > 0"), "license-lines")
 
 
 def notices(files: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -164,41 +160,47 @@ def notices(files: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES
     files only), text. Ties go to the template that is first by licence and order.
     """
     spark = files.sparkSession
-    rows = template_rows(templates)
+    rows, caps = template_rows(templates), line_caps(templates)
+    classes = sorted(set(caps))
+    least = (threshold * 0.999) ** 2
     terms = F.array(*[F.lit(t) for t in sorted({t for _, _, t, _ in rows})])
     present = files.select(F.array_intersect(terms, _tokens(F.coalesce("text", F.lit("")))).alias("present"))
     found = present.select(F.explode("present").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()  # one row a template term
     n_files = files.count()
     vectors, other = _weighted(rows, {r["term"]: r["n"] for r in found}, n_files)
-    some, enough = _within_reach(F.col("present"), _keys(vectors, threshold), threshold)
-    near = files.where("text is not null").select("fid", "text", F.array_intersect(terms, _tokens(F.col("text"))).alias("present")).where(some).where(enough)
-    near = cut(near.select("fid", "text").dropDuplicates(["fid"]), "license-near")
-    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct((i + 1).alias("line"), F.when(F.lower(x).rlike(COPYRIGHT), F.array().cast("array<string>")).otherwise(_tokens(x)).alias("terms")))
-    lines = F.filter(lines, lambda u: F.size(u["terms"]) > 0)
-    end = F.array(F.struct(F.lit(0).alias("line"), F.array().cast("array<string>").alias("terms")))  # where the last run ends
-    lines = near.select("fid", F.posexplode(F.concat(lines, end)).alias("j", "u")).select("fid", "j", "u.*")
-    start = F.coalesce(F.sum(F.size("terms")).over(Window.partitionBy("fid").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lines = cut(lines.withColumn("start", start), "license-lines")
-    runs: list[Column] = []
-    for cap in [0, *line_caps(templates)]:
-        reach = F.collect_list(F.struct("line", "terms")).over(Window.partitionBy("fid").orderBy("start").rangeBetween(0, cap))
-        runs.append(F.slice(reach, F.lit(1), F.greatest(F.size(reach) - 1, F.lit(1))))  # the last one found does not end within the cap
-    units = lines.select("fid", "line", *[r.alias(f"r{k}") for k, r in enumerate(runs)]).where("line > 0")
-    units = units.select("fid", "line", F.explode(F.array_distinct(F.array(*[f"r{k}" for k in range(len(runs))]))).alias("r"))
-    units = units.select("fid", "line", F.element_at("r.line", -1).alias("last"), F.flatten("r.terms").alias("terms"))
-    whole = lines.groupBy("fid").agg(F.flatten(F.collect_list("terms")).alias("terms")).select("fid", F.lit(0).alias("line"), F.lit(0).alias("last"), "terms")
-    units = units.unionByName(whole).withColumn("present", F.array_intersect(terms, F.col("terms"))).where(some).where(enough)
-    counts = units.select("fid", "line", "last", F.explode("terms").alias("term")).groupBy("fid", "line", "last", "term").agg(F.count("*").alias("n"))
-    weights = spark.createDataFrame([(t, float(w)) for t, w in sorted({(t, idf) for _, _, t, idf, _ in vectors})], "term string, idf double")
-    counts = counts.join(F.broadcast(weights), "term", "left")  # the templates' terms: bounded
-    counts = cut(counts.withColumn("w", F.col("n") * F.coalesce("idf", F.lit(other))), "license-units")
-    unit = ["fid", "line", "last"]
-    norms = counts.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    table = spark.createDataFrame([(t, i, name, float(w)) for i, name, t, _, w in vectors], "term string, template int, license string, tw double")
-    dots = counts.where("idf is not null").join(F.broadcast(table), "term").groupBy(*unit, "template", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    table = spark.createDataFrame([(t, i, name, float(w), caps[i], float(idf)) for i, name, t, idf, w in vectors], "term string, template int, license string, tw double, cap int, idf double")
+    table = F.broadcast(table)  # the templates' terms: bounded
+    keys = F.array(*[F.lit(t) for t in _keys(vectors, least)])
+    some = files.where(F.arrays_overlap(_tokens(F.col("text")), keys)).select("fid", "text").dropDuplicates(["fid"])
+    some = cut(some, "license-some")
+    carried = F.sum(F.col("tw") * F.col("tw")).alias("carried")
+    hits = some.select("fid", F.explode(F.array_intersect(terms, _tokens(F.col("text")))).alias("term")).join(table, "term")
+    hits = cut(hits.groupBy("fid", "template").agg(carried).where(F.col("carried") >= least).select("fid", "template"), "license-hits")
+    lines = _lines(some.join(hits.select("fid"), "fid", "left_semi"), classes)
+    near = lines.select("fid", "j", "start", F.explode(F.array_intersect(terms, F.col("terms"))).alias("term")).join(table, "term").join(hits, ["fid", "template"])
+    near = near.groupBy("fid", "j", "start", "template", "cap").agg(carried)
+    # a run's lines carry what their terms carry together, or more; the frame, in 2^20ths of the cap, has one line more at most
+    run = Window.partitionBy("fid", "template").orderBy(F.expr("start * 1048576L div cap")).rangeBetween(0, 1 << 20)
+    runs = near.withColumn("all", F.sum("carried").over(run)).where(F.col("all") >= least).select("fid", "j", "cap").distinct()
+    place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("cap")) - 1
+    runs = runs.join(lines.select("fid", "j", "ends"), ["fid", "j"]).select("fid", "j", "cap", F.get("ends", place.cast("int")).alias("e"))
+    units = near.where(F.col("carried") >= least).select("fid", "j", F.lit(0).alias("cap"), F.col("j").alias("e")).distinct()
+    units = units.unionByName(runs)
+    parts = units.select("fid", "cap", F.col("j").alias("s"), "e", F.explode(F.sequence("j", "e")).alias("j"))
+    words = parts.join(lines.select("fid", "j", "line", "terms"), ["fid", "j"])
+    whole = lines.select("fid", F.lit(0).alias("cap"), F.lit(-1).alias("s"), F.lit(-1).alias("e"), F.lit(0).alias("line"), "terms")
+    words = words.select(*whole.columns).unionByName(whole)
+    unit = ["fid", "cap", "s", "e"]
+    counts = words.select(*unit, "line", F.explode("terms").alias("term")).groupBy(*unit, "term").agg(F.count("*").alias("n"), F.min("line").alias("line"), F.max("line").alias("last"))
+    counts = cut(counts, "license-units")
+    weights = table.select("term", "idf").distinct()
+    norms = counts.join(F.broadcast(weights), "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(other)))
+    norms = norms.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.min("line").alias("line"), F.max("last").alias("last"))
+    dots = counts.drop("line", "last").withColumnRenamed("cap", "of").join(table, "term").where("of = 0 or of = cap").withColumn("cap", F.col("of"))
+    dots = dots.groupBy(*unit, "template", "license").agg(F.sum(F.col("n") * F.col("idf") * F.col("tw")).alias("dot"))
     scored = dots.join(norms, unit).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= threshold)
     best = F.max_by(F.struct("license", "cosine"), F.struct("cosine", -F.col("template")))
-    return scored.groupBy(*unit).agg(best.alias("b")).select(*unit, "b.license", "b.cosine")
+    return scored.groupBy("fid", "line", "last").agg(best.alias("b")).select("fid", "line", "last", "b.license", "b.cosine")
 
 
 def directory(path: Column) -> Column:

@@ -120,11 +120,12 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 def _op2() -> str:
     from quernel.llm.license_scan import COPYRIGHT, THRESHOLD, line_caps, template_rows
 
-    values = ", ".join(f"({i}, '{name}', '{t}', {n})" for i, name, t, n in template_rows())
+    caps = line_caps()
+    values = ", ".join(f"({i}, '{name}', '{t}', {n}, {caps[i]})" for i, name, t, n in template_rows())
     split = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
-    ends = ", ".join(f"max(j) OVER (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND {cap} FOLLOWING) - 1" for cap in line_caps())
+    ends = ", ".join(f"max(j) OVER (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND {cap} FOLLOWING) - 1" for cap in sorted(set(caps)))
     return f"""
-WITH templates(template, license, term, n) AS (VALUES {values}),
+WITH templates(template, license, term, n, cap) AS (VALUES {values}),
 files AS (
   SELECT doc_id, coalesce(source, '-') || '/' || coalesce(lang, '-') || '/' || (doc_id // 100) AS dir, text FROM documents),
 paths AS (SELECT *, dir || '/' || doc_id || '.txt' AS path FROM files),
@@ -137,29 +138,35 @@ lines AS (
         FROM (SELECT doc_id, line, {split.format("body")} AS terms FROM raw WHERE NOT regexp_matches(lower(body), '{COPYRIGHT}')
               UNION ALL SELECT DISTINCT doc_id, 1000000000, ['end'] FROM raw)
         WHERE len(terms) > 0)),
-runs AS (SELECT DISTINCT doc_id, line, j, greatest(j, unnest([j, {ends}])) AS e FROM lines QUALIFY line < 1000000000),
+runs AS (
+  SELECT doc_id, line, j, unnest([0, {", ".join(map(str, sorted(set(caps))))}]) AS cap, greatest(j, unnest([j, {ends}])) AS e
+  FROM lines QUALIFY line < 1000000000),
+started AS (SELECT DISTINCT l.doc_id, l.j, t.cap FROM (SELECT doc_id, j, unnest(terms) AS term FROM lines) l JOIN templates t ON l.term = t.term),
 units AS (
-  SELECT r.doc_id, r.line, last.line AS last, l.terms
+  SELECT r.doc_id, r.cap, r.line, last.line AS last, l.terms
   FROM runs r JOIN lines l ON l.doc_id = r.doc_id AND l.j BETWEEN r.j AND r.e JOIN lines last ON last.doc_id = r.doc_id AND last.j = r.e
+  WHERE r.cap = 0 OR (r.doc_id, r.j, r.cap) IN (SELECT (doc_id, j, cap) FROM started)
   UNION ALL
-  SELECT doc_id, 0, 0, terms FROM lines WHERE line < 1000000000),
-counts AS (SELECT doc_id, line, last, term, count(*) AS n FROM (SELECT doc_id, line, last, unnest(terms) AS term FROM units) GROUP BY ALL),
+  SELECT doc_id, 0, 0, 0, terms FROM lines WHERE line < 1000000000),
+counts AS (SELECT doc_id, cap, line, last, term, count(*) AS n FROM (SELECT doc_id, cap, line, last, unnest(terms) AS term FROM units) GROUP BY ALL),
 total AS (SELECT count(*) AS files FROM files),
 df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({split.format("text")}) AS term FROM files WHERE text IS NOT NULL) GROUP BY term),
 idf AS (
   SELECT t.term, ln((files + 1) / (coalesce(df, 0) + 1)::DOUBLE) + 1 AS idf
   FROM (SELECT DISTINCT term FROM templates) t LEFT JOIN df ON t.term = df.term, total),
 tw AS (
-  SELECT template, license, t.term, n * idf / sqrt(sum((n * idf) ** 2) OVER (PARTITION BY template)) AS tw
+  SELECT template, license, cap, t.term, n * idf / sqrt(sum((n * idf) ** 2) OVER (PARTITION BY template)) AS tw
   FROM templates t JOIN idf ON t.term = idf.term),
 weighted AS (
   SELECT c.*, idf, n * coalesce(idf, ln(files + 1.0::DOUBLE) + 1) AS w
   FROM counts c LEFT JOIN idf ON c.term = idf.term, total),
-norms AS (SELECT doc_id, line, last, sqrt(sum(w * w)) AS norm FROM weighted GROUP BY ALL),
-dots AS (SELECT doc_id, line, last, template, license, sum(w * tw) AS dot FROM weighted JOIN tw ON weighted.term = tw.term GROUP BY ALL),
+norms AS (SELECT doc_id, cap, line, last, sqrt(sum(w * w)) AS norm FROM weighted GROUP BY ALL),
+dots AS (
+  SELECT doc_id, weighted.cap, line, last, template, license, sum(w * tw) AS dot
+  FROM weighted JOIN tw ON weighted.term = tw.term AND (weighted.cap = 0 OR weighted.cap = tw.cap) GROUP BY ALL),
 matches AS (
   SELECT d.doc_id, d.line, d.last, template, license, round(dot / norm, 6) AS cosine
-  FROM dots d JOIN norms m ON d.doc_id = m.doc_id AND d.line = m.line AND d.last = m.last WHERE round(dot / norm, 6) >= {THRESHOLD}),
+  FROM dots d JOIN norms m ON d.doc_id = m.doc_id AND d.cap = m.cap AND d.line = m.line AND d.last = m.last WHERE round(dot / norm, 6) >= {THRESHOLD}),
 best AS (SELECT * FROM matches QUALIFY row_number() OVER (PARTITION BY doc_id, line, last ORDER BY cosine DESC, template) = 1),
 own AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, line, last) = 1),
 of_dir AS (

@@ -237,6 +237,7 @@ def _brute_notice(files):
     rows, n = ls.template_rows(), len(files)
     terms = [ls._terms(t or "") for _, t in files]
     idf = {t: math.log((n + 1) / (sum(t in x for x in terms) + 1)) + 1 for _, _, t, _ in rows}
+    caps = ls.line_caps()
     flat = [(name, ls._terms(text)) for name in sorted(ls.TEMPLATES) for text in ls.TEMPLATES[name]]
 
     def cosine(a, b):
@@ -248,23 +249,24 @@ def _brute_notice(files):
     for path, text in files:
         lines = [ls._terms(x) for x in (text or "").split("\n") if not re.search(ls.COPYRIGHT, x.lower())]
         lines = [x for x in lines if x]
-        units = [lines] if lines else []
+        units = [(lines, 0)] if lines else []
         for j in range(len(lines)):
-            for cap in (0, *ls.line_caps()):
+            for cap in (0, *sorted(set(caps))):
                 e = j + 1
                 while e < len(lines) and sum(sum(x.values()) for x in lines[j : e + 1]) <= cap:
                     e += 1
-                units.append(lines[j:e])
+                units.append((lines[j:e], cap))
         best = (0.0, None)
-        for u in units:
+        for u, cap in units:
             total = {}
             for x in u:
                 for t, k in x.items():
                     total[t] = total.get(t, 0) + k
-            for name, t in flat:
-                c = cosine(total, t)
-                if c >= ls.THRESHOLD and c > best[0]:
-                    best = (c, name)
+            for (name, t), own in zip(flat, caps, strict=True):
+                if cap in (0, own) and (cap == 0 or set(u[0]) & set().union(*(x for (_, x), c in zip(flat, caps, strict=True) if c == cap))):
+                    c = cosine(total, t)
+                    if c >= ls.THRESHOLD and c > best[0]:
+                        best = (c, name)
         out[path] = best
     return out
 
