@@ -44,8 +44,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _piece(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of each word of `data`; no word crosses a position of `breaks`."""
+def _piece(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, length) of each word of `data`; no word crosses a position of `breaks`."""
     solid = ~_SPACE[data]
     before = np.empty(len(data), bool)
     before[0] = False
@@ -64,7 +64,7 @@ def _piece(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray
     h = mix(h ^ ((end - start).astype(np.uint64) << np.uint64(48)))
     for k in np.flatnonzero(end - start > LONG).tolist():  # polynomials modulo 2^64 have colliding strings of 2^10 bytes
         h[k] = int.from_bytes(blake2b(data[start[k] : end[k]], digest_size=8).digest(), "little")
-    return h, start
+    return h, start, end - start
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +72,15 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
     data: the texts' bytes end to end. offsets: where each text starts, and the end.
     """
-    hashes, starts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    return hashes_and_lengths(data, offsets)[:2]
+
+
+def hashes_and_lengths(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_hashes(), and the length of each word in bytes.
+
+    data: the texts' bytes end to end. offsets: where each text starts, and the end.
+    """
+    hashes, starts, sizes, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     while at < len(data):
         to = min(at + PIECE, len(data))
         if to < len(data):
@@ -83,11 +91,12 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
                 nxt = np.flatnonzero(_SPACE[data[at:]])
                 ends = offsets[offsets > at]
                 to = min(at + int(nxt[0]) + 1 if len(nxt) else len(data), int(ends[0]) if len(ends) else len(data))
-        h, s = _piece(data[at:to], offsets - at)
+        h, s, n = _piece(data[at:to], offsets - at)
         hashes.append(h)
+        sizes.append(n)
         starts.append(s + at)
         at = to
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets), np.concatenate(sizes)
 
 
 def slices(texts: pa.Array, most: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
