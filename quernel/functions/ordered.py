@@ -1,8 +1,8 @@
-"""Running sums and positions over a total order, without one task that gets all rows.
+"""Running sums, positions and exact quantiles over a total order, without one task that gets all rows.
 
-Values are cut into ranges at approximate quantiles; each range is summed by itself, and only one total per range meets
-in one place. The order needs a number, time or text column first; rows that tie on it share a range (texts: on the
-first bytes that are not common to all). Null groups are groups like any other.
+Rows are ranged over partitions by the whole order; each partition is summed by itself, and only one total per partition
+meets in one place. The ranged rows are written first, so that partition numbers cannot change. Null groups are groups
+like any other.
 """
 
 from __future__ import annotations
@@ -12,53 +12,41 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The most ranges; there are at most two for each shuffle partition.
-RANGES = 256
-
-
-def as_number(df: DataFrame, name: str) -> Column:
-    """An order-preserving double for a number, time or text column."""
-    kind = df.schema[name].dataType.simpleString()
-    if kind == "string":
-        ends = df.agg(F.min(name), F.max(name)).first()
-        low, high = ((e or "").encode("utf-8", "surrogatepass") for e in ends)
-        common = next((i for i, (a, b) in enumerate(zip(low, high, strict=False)) if a != b), min(len(low), len(high)))
-        head = F.rpad(F.hex(F.substring(F.encode(F.col(name), "UTF-8"), common + 1, 6)), 12, "0")  # six bytes: exact in a double
-        return F.conv(head, 16, 10).cast("double")
-    if kind == "timestamp_ntz":
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    if kind == "timestamp":
-        return F.unix_micros(F.col(name)).cast("double")
-    if kind == "date":
-        return F.datediff(F.col(name), F.lit("1970-01-01")).cast("double")
-    return F.col(name).cast("double")
-
-
-def _ranged(df: DataFrame, value: Column, by: Sequence[str], ranges: int, few: bool = False) -> DataFrame:
-    """df with _range: which of `ranges` ranges, cut at approximate quantiles within `by`, the value lies in."""
-    cuts = [i / ranges for i in range(1, ranges)]
-    breaks = (df.groupBy(*by) if by else df).agg(F.percentile_approx(value, F.array(*[F.lit(c) for c in cuts]), F.lit(1000)).alias("_breaks"))
+from quernel.functions.durable import written
+
+def _ranged(df: DataFrame, value: str, by: Sequence[str], few: bool = False) -> DataFrame:
+    """df with _range: which range, cut at approximate quantiles within `by`, the value lies in.
+
+    There are about two ranges for each shuffle partition, 64 at least and 4,096 at most.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = 1 << min(12, max(6, (2 * tasks - 1).bit_length()))
+    cuts = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    breaks = (df.groupBy(*by) if by else df).agg(F.percentile_approx(value, cuts, F.lit(4 * ranges)).alias("_breaks"))
     # one row for each group; with many groups Spark broadcasts it if it is small
     placed = match(df, F.broadcast(breaks) if few else breaks, by) if by else df.crossJoin(F.broadcast(breaks))
-    return placed.withColumn("_range", F.coalesce(F.size(F.filter("_breaks", lambda b: b < value)), F.lit(0))).drop("_breaks")
+    placed, step = placed.withColumn("_range", F.lit(0)), ranges // 2
+    while step:  # binary search, a projection a step
+        placed = placed.withColumn("_range", F.col("_range") + F.when(F.get("_breaks", F.col("_range") + (step - 1)) < F.col(value), step).otherwise(0))
+        step //= 2
+    return placed.drop("_breaks")
 
 
-def running(df: DataFrame, order: Sequence[str], sums: Mapping[str, Column], by: Sequence[str] = (), most: int = RANGES, few: bool = False) -> DataFrame:
-    """df with, for each name in sums, the sum of its column over the rows up to this one in `order`, within `by`.
-
-    few: `by` has few groups (such as columns), so what there is of one row a group or range is broadcast.
-    """
+def running(df: DataFrame, order: Sequence[str], sums: Mapping[str, Column], by: Sequence[str] = ()) -> DataFrame:
+    """df with, for each name in sums, the sum of its column over the rows up to this one in `order`, within `by`."""
     by = list(by)
-    ranges = max(4, min(most, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    placed = _ranged(df, as_number(df, order[0]), by, ranges, few)
     parts = {f"_part_{k}": c for k, c in sums.items()}
-    placed = placed.withColumns(parts)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.withColumns(parts).repartitionByRange(tasks, *by, *order)
+    placed = written(ranged.withColumn("_range", F.spark_partition_id()), "ranged")
     totals = placed.groupBy(*by, "_range").agg(*[F.sum(p).alias(f"{p}_all") for p in parts])
     ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*by, "_range", *[F.coalesce(F.sum(f"{p}_all").over(ahead), F.lit(0)).alias(f"{p}_before") for p in parts])
+    totals = totals.withColumn("_nth", F.row_number().over(Window.partitionBy(*by).orderBy("_range")))
+    totals = totals.select(*by, "_range", "_nth", *[F.sum(f"{p}_all").over(ahead).alias(f"{p}_before") for p in parts])
+    # a partition continues one group at most: one row a partition
+    out = match(placed, F.broadcast(totals.where("_nth > 1").drop("_nth")), [*by, "_range"], "left")
     inside = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = match(placed, F.broadcast(totals) if few or not by else totals, [*by, "_range"])
-    out = out.withColumns({k: F.col(f"_part_{k}_before") + F.sum(f"_part_{k}").over(inside) for k in sums})
+    out = out.withColumns({k: F.coalesce(f"_part_{k}_before", F.lit(0)) + F.sum(f"_part_{k}").over(inside) for k in sums})
     return out.select(*df.columns, *sums)
 
 
@@ -91,9 +79,8 @@ def exact_quantiles(df: DataFrame, value: str, at: Sequence[float], by: Sequence
     Without values there is no row for a group, or one row with a null where `by` is empty.
     """
     by = list(by)
-    ranges = max(64, min(RANGES, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null")
-    placed = _ranged(rows, F.col("_v"), by, ranges, few)
+    placed = _ranged(rows, "_v", by, few)
     whole = Window.partitionBy(*by)
     totals = placed.groupBy(*by, "_range").agg(F.count("*").alias("_n"))  # at most `ranges` rows for each group
     before = F.coalesce(F.sum("_n").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

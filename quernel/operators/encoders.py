@@ -63,7 +63,11 @@ def _cats(rows: DataFrame) -> DataFrame:
     return positions(c, ["category"], "idx").withColumn("idx", F.col("idx") - 1)
 
 
-def _sorted_values(rows: DataFrame, most: int = 100_000) -> list[str]:
+#: Categories that encoders with a column for each can take: their names stand in the schema.
+MOST_COLUMNS = 10_000
+
+
+def _sorted_values(rows: DataFrame, most: int = MOST_COLUMNS) -> list[str]:
     """The categories, for encoders that make a column for each: a schema must be known on the driver."""
     got = [r[0] for r in rows.where("category is not null").select("category").distinct().orderBy("category").limit(most + 1).collect()]
     if len(got) > most:
@@ -94,11 +98,7 @@ def _onehot(rows: DataFrame, column: str, drop: str | None = None) -> Fitted:
         kept = cats[1:]
     else:
         kept = cats
-    spark = rows.sparkSession
-    names = [f"{column}__{c}" for c in kept]
-    data = [(c, *[float(c == k) for k in kept]) for c in cats]
-    mapping = spark.createDataFrame(data, T.StructType([T.StructField("category", T.StringType())] + [T.StructField(f"v{i}", T.DoubleType()) for i in range(len(kept))]))
-    return Fitted(column, names, mapping, [0.0] * len(kept))
+    return Fitted(column, [f"{column}__{c}" for c in kept], _cats(rows).select("category", "idx"), [0.0] * len(kept), direct={"kind": "indicator", "first": len(cats) - len(kept)})
 
 
 @register_encoder("ordinal")
@@ -202,13 +202,12 @@ def _binary(rows: DataFrame, column: str) -> Fitted:
 @register_encoder("helmert")
 def _helmert(rows: DataFrame, column: str) -> Fitted:
     cats = _cats(rows)
-    k = cats.count()
+    k = cats.limit(MOST_COLUMNS + 1).count()
     if k < 2:
         raise EncoderError("helmert coding needs two categories at least")
-    j = F.col("idx")
-    # column i of the row of category j: -1/(i+1) before the diagonal, (k-i-1)/(i+1) on it, 0 after
-    cols = [F.when(j < i, -1.0 / (i + 1)).when(j == i, (k - i - 1) / (i + 1)).otherwise(0.0).alias(f"v{i}") for i in range(k - 1)]
-    return Fitted(column, [f"{column}__helmert_{i}" for i in range(k - 1)], cats.select("category", *cols), [0.0] * (k - 1))
+    if k > MOST_COLUMNS:
+        raise EncoderError(f"more than {MOST_COLUMNS} categories: a column for each is not possible")
+    return Fitted(column, [f"{column}__helmert_{i}" for i in range(k - 1)], cats.select("category", "idx"), [0.0] * (k - 1), direct={"kind": "helmert", "n": k})
 
 
 @register_encoder("rare_grouping")
@@ -249,7 +248,7 @@ def _multi_hash(rows: DataFrame, column: str, n_hashes: int = 2, hash_dim: int =
 def _apply(df: DataFrame, f: Fitted, at: int) -> tuple[DataFrame, list[Column]]:
     """df joined with the mapping of f, and the encoded columns."""
     value = F.col(f.column).cast("string")
-    if f.direct is not None:
+    if f.direct is not None and f.mapping is None:
         token = F.coalesce(value, F.lit(NULL_TOKEN))
         if f.direct["kind"] == "hashing":
             b, s = md5_bucket(token, f.direct["n"]), md5_sign(token)
@@ -261,6 +260,12 @@ def _apply(df: DataFrame, f: Fitted, at: int) -> tuple[DataFrame, list[Column]]:
     m = f.mapping.select(F.col("category").alias(key), *[F.col(c).alias(f"_{at}_{c}") for c in f.mapping.columns if c != "category"], F.lit(True).alias(f"_hit_{at}"))
     out = df.join(m, value.eqNullSafe(F.col(key)), "left")
     hit = F.col(f"_hit_{at}").isNotNull()
+    if f.direct is not None:  # the mapping has the category's number; the columns are made from it
+        j, k = F.col(f"_{at}_idx"), f.direct.get("n", 0)
+        if f.direct["kind"] == "indicator":
+            return out, [F.when(j == i + f.direct["first"], 1.0).otherwise(0.0).alias(n) for i, n in enumerate(f.names)]
+        # column i of the row of category j: -1/(i+1) before the diagonal, (k-i-1)/(i+1) on it, 0 after
+        return out, [F.when(j < i, -1.0 / (i + 1)).when(j == i, (k - i - 1) / (i + 1)).otherwise(0.0).alias(n) for i, n in enumerate(f.names)]
     return out, [F.when(hit, F.col(f"_{at}_v{i}")).otherwise(F.lit(d)).alias(n) for i, (n, d) in enumerate(zip(f.names, f.defaults, strict=True))]
 
 
