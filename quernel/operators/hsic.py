@@ -218,16 +218,17 @@ def relevance(df: DataFrame, columns: Sequence[str], y: str, top_k: int = 100, m
     return [(c, v) for c, v in ranked if not (min_hsic > 0 and v < min_hsic)][:top_k]
 
 
-def nonnegative_lasso(a: np.ndarray, r: np.ndarray, lam: float, steps: int = 500, tol: float = 1e-6, start: np.ndarray | None = None) -> np.ndarray:
-    """min b'Rb/2 - a'b + lam * sum(b), b >= 0, by accelerated proximal steps of 1 / the largest eigenvalue of R."""
-    step = 1 / max(float(np.linalg.eigvalsh(r)[-1]), 1e-12)
+def nonnegative_lasso(a: np.ndarray, r: np.ndarray, lam: float, steps: int = 500, tol: float = 1e-6, start: np.ndarray | None = None, patience: float = np.inf, least: float = 1e-8) -> np.ndarray:
+    """min b'Rb - a'b + lam * sum(b), b >= 0, by accelerated proximal steps; see HSICLasso for patience and least."""
+    step = 1 / max(2 * float(np.linalg.eigvalsh(r)[-1]), 1e-12)
     b = np.zeros(len(a)) if start is None else start.copy()
-    z, t = b.copy(), 1.0
+    z, t, same = b.copy(), 1.0, 0
     for _ in range(steps):
-        new = np.maximum(0.0, z - step * (r @ z - a + lam))
+        new = np.maximum(0.0, z - step * (2 * r @ z - a + lam))
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
         z = new + (t - 1) / t2 * (new - b)
-        if np.abs(new - b).max(initial=0.0) < tol:
+        same = same + 1 if ((new > least) == (b > least)).all() else 0
+        if np.abs(new - b).max(initial=0.0) < tol or same >= patience:
             return new
         b, t = new, t2
     return b
@@ -244,6 +245,7 @@ class HSICLasso:
     target: tuple[int, int] = (30, 80)
     path: int = 14
     steps: int = 800
+    patience: int = 20
     sigma: float | None = None
     max_rows: int | None = None
     order: str | None = None
@@ -263,7 +265,7 @@ class HSICLasso:
             low, high = (min(x, len(columns)) for x in self.target)
             best, b, gap = None, np.zeros(len(a)), np.inf
             for lam in np.geomspace(10, 1e-3, self.path) * max(float(a.max(initial=0.0)), 1e-12):
-                b = nonnegative_lasso(a, r, lam, self.steps, start=b)
+                b = nonnegative_lasso(a, r, lam, self.steps, start=b, patience=self.patience, least=self.least)
                 n = int((b > self.least).sum())
                 if abs(n - (low + high) / 2) < gap:
                     best, gap = b, abs(n - (low + high) / 2)

@@ -132,6 +132,69 @@ def drift_chart(drift: DataFrame, by: str = "psi", n: int = 20) -> DataFrame:
     return drift.orderBy(F.desc(by), "feature").limit(n).select("feature", by, "risk_level")
 
 
+def line_table(df: DataFrame, x: str, y: str) -> DataFrame:
+    """x, y in the order of x: a line; values of equal x are averaged."""
+    return df.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("x")).agg(F.avg(y).alias("y")).orderBy("x")
+
+
+def icc_bars(icc: DataFrame) -> DataFrame:
+    """label, value: a bar for each kind of agreement."""
+    return icc.select(F.col("Type").alias("label"), F.col("ICC").alias("value")).orderBy("label")
+
+
+def scatter_table(df: DataFrame, x: str, y: str, most: int = 5000, seed: int = 42) -> DataFrame:
+    """x, y of `most` rows, those with the least hashes: a sample, as a chart can't show all."""
+    rows = df.select(F.col(x).alias("x"), F.col(y).alias("y")).na.drop()
+    return rows.orderBy(F.xxhash64(F.lit(seed), "x", "y"), "x", "y").limit(most)
+
+
+def violin_table(df: DataFrame, value: str, group: str, bins: int = 30) -> DataFrame:
+    """group, low, high, n, share: a histogram for each group, over the bins of all rows."""
+    s = df.agg(F.min(value).alias("a"), F.max(value).alias("b")).first()
+    if s["a"] is None:
+        return df.sparkSession.createDataFrame([], "group string, low double, high double, n bigint, share double")
+    low, width = float(s["a"]), (float(s["b"]) - float(s["a"])) / bins or 1.0
+    k = F.least(F.floor((F.col(value) - low) / width), F.lit(bins - 1)).alias("k")
+    n = df.where(F.col(value).isNotNull()).groupBy(F.col(group).cast("string").alias("group"), k).agg(F.count("*").alias("n"))
+    whole = n.groupBy("group").agg(F.sum("n").alias("_all"))
+    out = n.join(whole, n["group"].eqNullSafe(whole["group"])).drop(whole["group"])
+    return out.select("group", (low + F.col("k") * width).alias("low"), (low + (F.col("k") + 1) * width).alias("high"), "n", (F.col("n") / F.col("_all")).alias("share"))
+
+
+def to_svg(table: DataFrame, x: str, y: str, kind: str = "line", width: int = 640, height: int = 320, most: int = 5000) -> str:
+    """A chart table drawn as SVG: 'line', 'scatter' or 'bar' (x: labels). `most` rows at most, as a report."""
+    from html import escape
+
+    if kind not in ("line", "scatter", "bar"):
+        raise ValueError(f"unknown chart: {kind}")
+    rows = [r for r in table.select(x, y).limit(most).collect() if r[0] is not None and r[1] is not None]
+    ys = [float(r[1]) for r in rows] or [0.0]
+    xs = [float(k) if kind == "bar" else float(r[0].timestamp() if hasattr(r[0], "timestamp") else r[0]) for k, r in enumerate(rows)] or [0.0]
+    low, high = min([*ys, 0.0] if kind == "bar" else ys), max([*ys, 0.0] if kind == "bar" else ys)
+
+    def place(v: float, a: float, b: float, size: int) -> float:
+        return round(30 + (v - a) / ((b - a) or 1.0) * (size - 60), 2)
+
+    points = [(place(a, min(xs), max(xs), width), height - place(b, low, high, height)) for a, b in zip(xs, ys, strict=True)] if rows else []
+    if kind == "line":
+        body = f'<polyline fill="none" stroke="black" points="{" ".join(f"{a},{b}" for a, b in points)}"/>'
+    elif kind == "scatter":
+        body = "".join(f'<circle cx="{a}" cy="{b}" r="2"/>' for a, b in points)
+    else:
+        zero, wide = height - place(0.0, low, high, height), max(1.0, (width - 60) / max(1, len(points)) * 0.7)
+        body = "".join(f'<rect x="{a - wide / 2}" y="{min(b, zero)}" width="{wide}" height="{abs(zero - b)}"><title>{escape(str(r[0]))}</title></rect>' for (a, b), r in zip(points, rows, strict=True))
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">{body}<text x="30" y="{height - 8}">{escape(x)}</text><text x="4" y="16">{escape(y)}</text></svg>'
+
+
+def save_chart(table: DataFrame, title: str, path: str, x: str, y: str, kind: str = "line") -> None:
+    """The chart and its table as one HTML page."""
+    from html import escape
+    from pathlib import Path
+
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(f"<!DOCTYPE html><title>{escape(title)}</title>{to_svg(table, x, y, kind)}{to_html(table, title)}")
+
+
 def to_html(table: DataFrame, title: str, most: int = 1000) -> str:
     """A chart table as a small HTML page; `most` rows at most, as a report."""
     from html import escape

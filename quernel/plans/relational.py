@@ -307,9 +307,12 @@ def ag15(spark, d):
     return rounded(M.spearman(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice"), 8)
 
 
-@query("ag16_jaccard_one_fold", "SELECT 1.0::DOUBLE AS jaccard")
+@query("ag16_jaccard_one_fold", """WITH f AS (SELECT s_nationkey AS fold, count(*) AS n FROM supplier GROUP BY 1), t AS (SELECT DISTINCT s_nationkey % 5 AS fold, s_nationkey AS item FROM supplier WHERE s_nationkey % 5 = 3),
+p AS (SELECT a.fold AS i, b.fold AS j, (SELECT count(*) FROM t x JOIN t y USING (item) WHERE x.fold = a.fold AND y.fold = b.fold)::DOUBLE / (SELECT count(DISTINCT item) FROM t WHERE fold IN (a.fold, b.fold)) AS s FROM (SELECT DISTINCT fold FROM t) a JOIN (SELECT DISTINCT fold FROM t) b ON a.fold < b.fold)
+SELECT coalesce(avg(s), CASE WHEN (SELECT count(DISTINCT fold) FROM t) = 1 THEN 1.0::DOUBLE END) AS jaccard, (SELECT count(*) FROM t) AS items FROM p""")
 def ag16(spark, d):
-    return A.jaccard_mean(table(spark, d, "region").select(F.lit(1).alias("fold"), "r_name"), "fold", "r_name")
+    t = table(spark, d, "supplier").where("s_nationkey % 5 = 3").select((F.col("s_nationkey") % 5).alias("fold"), F.col("s_nationkey").alias("item")).distinct()
+    return A.jaccard_mean(t, "fold", "item").crossJoin(t.agg(F.count("*").alias("items")))  # one row each
 
 
 @query("ag17_mean_abs", "SELECT feature, round(avg(abs(v)), 6) AS importance FROM (SELECT 'c_acctbal' AS feature, c_acctbal AS v FROM customer UNION ALL SELECT 'c_nationkey', c_nationkey - 12 FROM customer) GROUP BY 1")
@@ -353,7 +356,27 @@ def w4(spark, d):
     return W.expanding_labels(table(spark, d, "orders"), ["o_orderdate", "o_orderkey"], 5).select("o_orderkey", "fold")
 
 
-@query("w5_stratified_folds")
+@query("pf17_sample_size", "SELECT least(count(*), 5000) AS n, count(*) > 5000 AS sampled FROM lineitem")
+def pf17b(spark, d):
+    rows, cut = S.sampled(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), 5000)
+    return rows.agg(F.count("*").alias("n"), F.lit(cut).alias("sampled"))
+
+
+@query("pf9_matching_columns", "SELECT column_name AS name FROM (DESCRIBE lineitem) WHERE lower(column_name) LIKE '%date%' OR lower(column_name) LIKE '%key%'")
+def pf9(spark, d):
+    columns = table(spark, d, "lineitem").columns
+    return spark.createDataFrame([(c,) for c in [*S.matching_columns(columns, "DATE"), *S.matching_columns(columns, "Key")]], "name string")
+
+
+@query("sp4_split_sizes", """SELECT o_orderstatus, CASE WHEN k <= ceil(n * 0.2) THEN 'test' ELSE 'train' END AS part, count(*) AS n
+FROM (SELECT o_orderstatus, row_number() OVER w AS k, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderkey)) GROUP BY 1, 2""")
+def sp4b(spark, d):
+    train, test = W.stratified_split(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus")
+    both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    return both.distinct().groupBy("o_orderstatus", "part").agg(F.count("*").alias("n"))
+
+
+@query("w5_stratified_folds", "SELECT l_returnflag, k % 5 AS fold, count(*) AS n FROM (SELECT l_returnflag, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) - 1 AS k FROM lineitem) GROUP BY 1, 2")
 def w5(spark, d):
     return W.stratified_folds(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), "l_returnflag").groupBy("l_returnflag", "fold").agg(F.count("*").alias("n"))
 
@@ -407,7 +430,7 @@ def u1(spark, d):
     return a.unionByName(b)
 
 
-@query("u2_difference", "SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'")
+@query("u2_difference", "SELECT DISTINCT l_partkey, l_quantity FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_partkey, l_quantity FROM lineitem WHERE l_returnflag = 'A'")
 def u2(spark, d):
     t = table(spark, d, "lineitem")
-    return t.where("l_returnflag = 'R'").select("l_partkey").distinct().subtract(t.where("l_returnflag = 'A'").select("l_partkey"))
+    return t.where("l_returnflag = 'R'").select("l_partkey", "l_quantity").distinct().subtract(t.where("l_returnflag = 'A'").select("l_partkey", "l_quantity"))

@@ -115,6 +115,21 @@ def synthetic(spark: SparkSession, rows: int = 5000, groups: int = 15, seed: int
     return SyntheticDataset(data, spark.createDataFrame([("target_main",), ("target_secondary",)], "FactorName string"))
 
 
+def named_dataset(spark: SparkSession, name: str, folder: str) -> DataFrame:
+    """The data set `name`: the file of that name in a folder, with any extension that has a reader."""
+    for e in sorted(READERS):
+        if extension(f"x{e}") in READERS and any(p.endswith(f"/{name}{e}") for p in list_files(spark, folder, (e,))):
+            return from_path(spark, f"{folder}/{name}{e}")
+    raise ValueError(f"no data set {name} in {folder}")
+
+
+def dataset_split(spark: SparkSession, name: str, folder: str, target: str, test: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(train, test) of a named data set, with equal class shares."""
+    from quernel.operators.splits import stratified_split
+
+    return stratified_split(named_dataset(spark, name, folder), target, test, seed)
+
+
 def persist(bundle: SyntheticDataset, folder: str, kind: str = "parquet") -> None:
     """Data and factor table under a folder, as Parquet or Feather."""
     for name, df in (("data", bundle.data), ("factors", bundle.factors)):

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from quernel import config
@@ -11,6 +12,7 @@ from quernel.operators import additive as G
 from quernel.operators import aggregates as A
 from quernel.operators import drift as D
 from quernel.operators import encoders as E
+from quernel.operators import explain as EX
 from quernel.operators import hsic as H
 from quernel.operators import icc as I
 from quernel.operators import metrics as M
@@ -296,6 +298,124 @@ def test_cross_validation(frame):
     assert out.stability.first()[0] == 1.0
 
 
+def test_cross_validation_of_the_additive_model(frame):
+    out = X.time_series_cv(frame, ["temperature", "pressure"], "target_main", ["timestamp"], "ebm", k=2, repeats=2)
+    assert out.metrics.where("metric = 'r2' and fold = 0").first()["value"] > 0.5
+    df = frame.withColumn("hot", (F.col("target_main") > 15).cast("int"))
+    scores, oof, models = X.classification_cv(df, ["temperature", "pressure"], "hot", "ebm", k=3)
+    assert scores.first()["auc"] > 0.9 and oof.count() == 600 and len(models) == 3
+
+
+def brute_shapley(found, row):
+    """Over all coalitions: features outside one pass a split with the share of rows that did."""
+    from itertools import combinations
+    from math import factorial
+
+    p = len(row)
+
+    def value(known):
+        total = 0.0
+        for v, path in found:
+            for f, low, high, share in path:
+                v *= (low < row[f] <= high) if f in known else share
+            total += v
+        return total
+
+    out = [0.0] * p
+    for i in range(p):
+        for k in range(p):
+            for c in combinations([j for j in range(p) if j != i], k):
+                out[i] += factorial(k) * factorial(p - 1 - k) / factorial(p) * (value({*c, i}) - value(set(c)))
+    return out
+
+
+def test_shapley_values_against_all_coalitions(spark, frame):
+    features = ["temperature", "pressure", "runtime_hours", "vibration"]
+    hot = frame.withColumn("hot", (F.col("target_main") > 15).cast("double"))
+    kinds = [(X.REGRESSORS, "tree", "target_main", {"maxDepth": 4}), (X.REGRESSORS, "lightgbm", "target_main", {"maxIter": 5, "maxDepth": 3}), (X.CLASSIFIERS, "rf", "hot", {"numTrees": 6, "maxDepth": 4})]
+    for table, kind, target, params in kinds:
+        model = X._fit(table, kind, X.assembled(hot, features), target, params)
+        found = EX.leaves(model, spark)
+        rows = EX.explain(model, hot, features, 25)
+        scored = model.transform(X.assembled(rows, features))
+        shown = F.col("prediction") if target != "hot" else vector_to_array("probability")[1]
+        got = scored.select(*features, *[f"shap_{c}" for c in features], shown.alias("shown")).collect()
+        base = {round(r["shown"] - sum(r[f"shap_{c}"] for c in features), 9) for r in got}
+        assert len(got) == 25 and max(base) - min(base) < 1e-6
+        for r in got[:5]:
+            assert np.allclose([r[f"shap_{c}"] for c in features], brute_shapley(found, [r[c] for c in features]))
+
+
+def test_shuffled_columns_keep_values(frame):
+    out = X.shuffled_columns(frame, ["temperature", "pressure"], "target_main", 3, block=100).toPandas()
+    assert len(out) == 600 * (1 + 2 * 3)
+    base = out[out.feature.isna()]
+    for c in ("temperature", "pressure"):
+        for i in range(3):
+            part = out[(out.feature == c) & (out.repeat == i)]
+            assert np.allclose(np.sort(part[c]), np.sort(base[c]))
+            other = {"temperature": "pressure", "pressure": "temperature"}[c]
+            both = part.merge(base, on=["target_main", other])
+            assert len(both) == 600 and (both[f"{c}_x"] != both[f"{c}_y"]).mean() > 0.95
+
+
+def test_boosting_stops_when_rounds_do_not_help(frame):
+    model = X._fit(X.REGRESSORS, "lightgbm", X.assembled(frame, ["vibration"]), "target_main", {})
+    assert model.getNumTrees < 50
+
+
+def test_losses(frame):
+    m = G.HierarchicalAdditiveRegressor(["temperature", "pressure"], "target_main", "operator", "residual").fit(frame)
+    got = {r["term"]: r["value"] for r in m.losses(frame, {"centre": 2.0}).collect()}
+    rows = m.predict_and_contributions(frame).toPandas()
+    added = np.column_stack([rows[f"contrib_{f}"] - rows[f"base_{f}"] for f in m.features])
+    assert got["mse"] == pytest.approx(((rows.target_main - rows.prediction) ** 2).mean())
+    assert got["contribution_l1"] == pytest.approx(np.abs(added).mean()) and got["contribution_l2"] == pytest.approx((added**2).mean())
+    means = rows.assign(a=added[:, 0], b=added[:, 1]).groupby("operator")[["a", "b"]].mean().to_numpy()
+    assert got["centre"] == pytest.approx((means**2).mean()) and got["total"] == pytest.approx(got["mse"] + 2 * got["centre"])
+    with pytest.raises(ValueError):
+        m.losses(frame, {"nothing": 1.0})
+
+
+def test_lasso_solution():
+    a, r = np.array([1.0, 0.5]), np.array([[2.0, 0.0], [0.0, 1.0]])
+    assert np.allclose(H.nonnegative_lasso(a, r, 0.2), [0.2, 0.15], atol=1e-5)  # (a - lam) / (2 r); steps end below 1e-6
+    early = H.nonnegative_lasso(a, r, 0.2, patience=1)
+    assert (early > 0).all()
+
+
+def test_datasets_and_charts(spark, frame, tmp_path):
+    frame.select("operator", "temperature").toPandas().to_csv(tmp_path / "machines.csv", index=False)
+    train, test = readers.dataset_split(spark, "machines", str(tmp_path), "operator", 0.25)
+    assert train.count() + test.count() == 600 and train.groupBy("operator").count().count() == 5
+    with pytest.raises(ValueError):
+        readers.named_dataset(spark, "nothing", str(tmp_path))
+    R.save_chart(R.line_table(frame, "timestamp", "temperature"), "T <1>", str(tmp_path / "deep" / "t.html"), "x", "y")
+    page = (tmp_path / "deep" / "t.html").read_text()
+    assert "<polyline" in page and "T &lt;1&gt;" in page
+    bars = R.to_svg(spark.createDataFrame([("a", 1.0), ("b", -1.0)], "label string, value double"), "label", "value", "bar")
+    assert bars.count("<rect") == 2 and R.to_svg(frame, "temperature", "pressure", "scatter").count("<circle") == 600
+    assert R.scatter_table(frame, "temperature", "pressure", 50).count() == 50
+    assert R.violin_table(frame, "temperature", "operator").agg(F.sum("n")).first()[0] == 600
+
+
+def test_wide_encoders_make_no_square_table(spark):
+    df = spark.createDataFrame([(f"c{k:05d}",) for k in range(300)], "c string")
+    out = E.CategoricalEncoder("onehot").fit(df, None, ["c"])
+    assert out.fitted[0].mapping.columns == ["category", "idx"]
+    assert out.transform(df).agg(F.sum("c__c00007")).first()[0] == 1.0
+    with pytest.raises(E.EncoderError):
+        E.CategoricalEncoder("helmert").fit(spark.range(E.MOST_COLUMNS + 1).select(F.col("id").cast("string").alias("c")), None, ["c"])
+
+
+def test_positions_where_one_prefix_covers_all(spark):
+    df = spark.createDataFrame([(f"https://example.org/{k * 37 % 1000:04d}", k % 7) for k in range(1000)] + [("zz", 1)], "t string, g int")
+    got = positions(df, ["t"], "k")
+    assert [r["k"] for r in got.orderBy("t").collect()] == list(range(1, 1002))
+    by = positions(df, ["t"], "k", ["g"]).groupBy("g").agg(F.max("k").alias("a"), F.countDistinct("k").alias("b"), F.count("*").alias("c")).collect()
+    assert all(r["a"] == r["b"] == r["c"] for r in by)
+
+
 def test_readers(spark, tmp_path):
     df = spark.createDataFrame([(1, "x"), (2, None)], "a long, b string")
     readers.write_feather(df, str(tmp_path / "f"), "overwrite")

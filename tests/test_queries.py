@@ -7,7 +7,7 @@ import pytest
 from quernel import plans
 from tests.differ import assert_same, connection
 
-SLOW = {"m2_time_series_cv", "g11_search", "m4_classifier_cv", "n1_probe_selection", "ts1_tree_scores", "m7_rules"}
+SLOW = {"m3_classifiers", "n2_shapley_selection", "m2_time_series_cv", "g11_search", "m4_classifier_cv", "n1_probe_selection", "ts1_tree_scores", "m7_rules"}
 
 
 @pytest.fixture(scope="module")
