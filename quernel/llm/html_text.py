@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript textarea title plaintext".split())
 DECODED = frozenset(("textarea", "title"))  # of RAW, those with character references
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist title svg math meta link base area param source track rp".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist title meta link base area param source track rp desc metadata defs symbol clippath mask pattern annotation annotation-xml".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre figure table hr menu fieldset details".split())
-BLOCK = MARGIN | frozenset("html body div section article aside header footer main nav address form li dt dd figcaption legend center dir summary optgroup option caption thead tbody tfoot tr td th dialog search hgroup xmp plaintext".split())
+BLOCK = MARGIN | frozenset("html body div section article aside header footer main nav address form li dt dd figcaption legend center dir summary optgroup option caption mtr thead tbody tfoot tr td th dialog search hgroup xmp plaintext".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dd dt plaintext xmp".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 IN_TABLE = frozenset("table thead tbody tfoot tr".split())
@@ -33,11 +33,16 @@ SCOPE = frozenset("html table td th caption template object applet marquee".spli
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
-_NO_SHOW = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_NO_SHOW = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)\b", re.I)
+#: Elements whose text stands by itself in a line: labels of drawings, cells of formulas.
+SPACED = frozenset("text mtd".split())
 _SPACES = re.compile(r"[ \t\n\f\r]+")
 
 
 class Node:
+    """An element. `up` is the open element that it was opened in, which is not its place for one moved before a table."""
+
     __slots__ = ("attrs", "kids", "tag", "up")
 
     def __init__(self, tag: str, attrs: dict[str, str], up: Node | None):
@@ -172,7 +177,7 @@ class TreeBuilder:
         elif self.now.tag in IN_TABLE and name not in ("script", "style", "template", "input", "form"):
             table = self._table()
             if table is not None and table.up is not None and name != "table":
-                node = Node(name, attrs, table.up)  # moved before the table
+                node = Node(name, attrs, self.now)  # moved before the table; once it is closed, the table goes on
                 kids = table.up.kids
                 kids.insert(len(kids) - 1 - kids[::-1].index(table), node)
                 if name not in VOID and not closed:
@@ -232,7 +237,7 @@ class TreeBuilder:
 
 
 def visible(node: Node) -> bool:
-    """Whether an element is shown, as far as tag and attributes say."""
+    """Whether an element and all in it can be shown, as far as tag and attributes say; for visibility see shown()."""
     a = node.attrs
     if node.tag in HIDDEN or "hidden" in a:
         return False
@@ -243,6 +248,12 @@ def visible(node: Node) -> bool:
     return not ("style" in a and _NO_SHOW.search(a["style"]))
 
 
+def shown(node: Node, inherited: bool) -> bool:
+    """The visibility of an element: what its style says last, else that of the element around it."""
+    found = _VISIBILITY.findall(node.attrs["style"]) if "style" in node.attrs else ()
+    return found[-1].lower() == "visible" if found else inherited
+
+
 class _Box:
     """Lines of text that blocks and inline text are written to."""
 
@@ -356,12 +367,13 @@ def render(root: Node) -> str:
     tables: list[list[list[tuple[list[str], int, int]]]] = []
     lists: list[list] = []  # [next number or None for bullets, step]
     pre = 0
+    seen = [True]  # the visibility of the open elements
     stack: list[tuple[Node | str, bool]] = [(root, False)]
     while stack:
         node, leaving = stack.pop()
         box = boxes[-1]
         if isinstance(node, str):
-            if node:
+            if node and seen[-1]:
                 box.kept(node) if pre else box.inline(node)
             continue
         tag = node.tag
@@ -374,15 +386,19 @@ def render(root: Node) -> str:
                 continue
             if tag == "hr":
                 box.block(0)
-                box.line.append("-" * 8)
+                if shown(node, seen[-1]):
+                    box.line.append("-" * 8)
                 box.block(0)
                 continue
             if tag == "input":
-                if node.attrs.get("type", "text").lower() in ("submit", "reset", "button", "text", "search", "email", "url", "tel", "number") and node.attrs.get("value"):
+                if shown(node, seen[-1]) and node.attrs.get("type", "text").lower() in ("submit", "reset", "button", "text", "search", "email", "url", "tel", "number") and node.attrs.get("value"):
                     box.inline(" " + node.attrs["value"] + " ")
                 continue
             if tag in VOID:
                 continue
+            seen.append(shown(node, seen[-1]))
+            if tag in SPACED:
+                box.space = box.space or bool(box.line)
             if tag in ("td", "th", "caption") and tables:
                 boxes.append(_Box())
             elif tag == "table":
@@ -408,6 +424,8 @@ def render(root: Node) -> str:
                 if here[0] is not None:
                     here[0] += here[1]
                 box.indent.append(" " * len(box.mark))
+                if not seen[-1]:
+                    box.mark = ""
             elif tag in ("blockquote", "dd"):
                 box.indent.append("    ")
             elif tag in ("pre", "xmp", "plaintext", "textarea"):
@@ -416,12 +434,18 @@ def render(root: Node) -> str:
                     node.kids[0] = node.kids[0][1:]
             stack.append((node, True))
             kids = node.kids
-            if tag == "select":
+            if tag == "select" and "multiple" not in node.attrs and _span(node.attrs.get("size")) == 1:
                 kids = _chosen(node)
+            elif tag == "optgroup" and seen[-1] and node.attrs.get("label", "").strip():
+                box.inline(node.attrs["label"])
+                box.block(0)
             elif tag == "details" and "open" not in node.attrs:
                 kids = [k for k in kids if isinstance(k, Node) and k.tag == "summary"]
             stack.extend((k, False) for k in reversed(kids))
             continue
+        seen.pop()
+        if tag in SPACED:
+            box.space = box.space or bool(box.line)
         if tag in ("td", "th") and tables:
             lines = boxes.pop().done()
             if not tables[-1]:

@@ -297,6 +297,10 @@ def test_license_scan_against_brute_force(spark, sf):
         ("<table>lost<tr><td>in</table>", "lost\n\nin"), ("<p hidden>x</p>y", "y"), ("<p style='color:red; display : none'>x</p>y", "y"), ("<script>if (a<b) '</p>'</script>z", "z"),
         ("<title>t</title><body>b", "b"), ("<pre> a\n  b</pre>", " a\n  b"), ("x <b>y</b> z", "x y z"), ("<b>un<p>closed", "un\n\nclosed"), ("a<!-- c -->b", "ab"), ("<noscript>n</noscript>s", "s"),
         ("1 < 2 <3", "1 < 2 <3"), ("<a href='x>y'>l</a>", "l"), ("<details><summary>s</summary>d</details>", "s"), ("<select><option>a<option selected>b</select>", "b"), ("<dl><dt>t<dd>d</dl>", "t\n    d"),
+        ("<svg><title>t</title><desc>d</desc><text x=1>one</text><text>two</text></svg>", "one two"), ("<math><mi>a</mi><mo>+</mo><mi>b</mi><annotation>tex</annotation></math>", "a+b"),
+        ("<div style='visibility:hidden'>x<b style='visibility: visible'>y</b>z</div>w", "y\nw"), ("<ul><li style=visibility:hidden>a<li>b</ul>", "- b"),
+        ("<select multiple><option>a<option>b</select>", "a\nb"), ("<select size=3><optgroup label=G><option>a</optgroup></select>", "G\na"),
+        ("<table><tr><a name=x></a><td>A<td>B<tr><td>CC<td>D</table>", "A  | B\nCC | D"), ("<table><tr><b>x<td>A<td>B</table>", "x\n\nA | B"), ("<table><tr><td>A</td><i>m</i><td>B</table>z", "m\n\nA | B\n\nz"),
         ("<textarea>&lt;k&gt;</textarea>", "<k>"), ("</p>", ""), ("<h1>a</h2>b", "a\n\nb"), ("<td>alone", "alone"), ("<p>a", "a"), ("<unfinished", ""),
     ],
 )
@@ -304,6 +308,69 @@ def test_html_text(html, text):
     assert ht.extract(html) == text
 
 
+def random_page(rng):
+    """A page written with random liberties of the syntax, and its text, made from the same blocks without a parser."""
+    pick = lambda *x: x[int(rng.integers(len(x)))]
+    words = lambda n=4: [f"w{int(x)}" for x in rng.integers(0, 500, rng.integers(1, n + 1))]
+    case = lambda t: pick(t, t.upper(), t.capitalize())
+    space = lambda: pick("", " ", "\n", "\t ")
+
+    def tag(name, implied=False):
+        attrs = pick("", " class=a", " title='x > y'", ' data-k="<b>"')
+        return f"<{case(name)}{attrs}>", "" if implied and pick(True, False) else f"</{case(name)}{pick('', ' ')}>"
+
+    def inline(ws):
+        out = []
+        for w in ws:
+            a, b = pick(("", ""), tag("b"), tag("span"), ("<!-- c -->", ""))
+            out.append(a + pick(w, w, f"&#{ord(w[0])};{w[1:]}") + b)
+        return pick(" ", "\n  ").join(out)
+
+    html, blocks = [], []  # blocks: (margin, lines)
+    for _ in range(int(rng.integers(1, 9))):
+        kind = pick("p", "h2", "div", "ul", "ol", "table", "none", "pre")
+        if kind in ("p", "h2", "div"):
+            ws = words(6)
+            a, b = tag(kind, kind == "p")
+            html.append(a + space() + inline(ws) + space() + b)
+            blocks.append((kind != "div", [" ".join(ws)]))
+        elif kind in ("ul", "ol"):
+            items, start = [words() for _ in range(int(rng.integers(1, 5)))], int(rng.integers(1, 20))
+            a, b = (f"<ol start={start}>", "</ol>") if kind == "ol" else tag("ul")
+            html.append(a + "".join(x + inline(ws) + y + space() for ws in items for x, y in [tag("li", True)]) + b)
+            blocks.append((True, [("- " if kind == "ul" else f"{start + k}. ") + " ".join(ws) for k, ws in enumerate(items)]))
+        elif kind == "table":
+            wide = int(rng.integers(1, 4))
+            rows = [[" ".join(words(2)) for _ in range(wide)] for _ in range(int(rng.integers(1, 4)))]
+            body = ""
+            for r in rows:
+                a, b = tag("tr", True)
+                body += a + space() + "".join(x + c + y for c in r for x, y in [tag("td", True)]) + b
+            html.append(f"<table>{pick(body, '<tbody>' + body)}</table>")
+            size = [max(len(r[k]) for r in rows) for k in range(wide)]
+            blocks.append((True, [" | ".join(c.ljust(n) for c, n in zip(r, size, strict=True)).rstrip() for r in rows]))
+        elif kind == "none":
+            html.append(pick("<script>if (a < b) x('<p>')</script>", "<p hidden>no</p>", "<div style='display:none'>no<p>no</div>", "<!-- <p>no -->", "<style>p{}</style>"))
+            if html[-1].startswith(("<p", "<div")):
+                blocks.append((False, []))
+        else:
+            lines = ["  ".join(words(3)) for _ in range(int(rng.integers(1, 4)))]
+            html.append("<pre>" + "\n".join(lines) + "</pre>")
+            blocks.append((True, lines))
+    text, last = [], None
+    for margin, lines in blocks:
+        if lines:
+            text += ([""] if last is not None and (margin or last) else []) + lines
+            last = margin
+    return "".join(x + space() for x in html), "\n".join(text)
+
+
+@pytest.mark.parametrize("seed", range(300))
+def test_html_text_of_random_pages(seed):
+    html, text = random_page(np.random.default_rng(seed))
+    assert ht.extract(html) == text
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="<>/abiptdrul=\"' !-&;\n", max_size=80))
 def test_html_never_fails(html):
