@@ -105,11 +105,13 @@ class OrdinalModel:
         parts = [slice(at, at + _PART) for at in range(0, len(col), _PART)]  # so that no copy is as long as the sample
         n = len(grades)
         y = grades.astype(np.int64)
+        if not n:  # without ratings nothing speaks against a text: every grade is likely
+            return cls(np.zeros(1 << bits, np.float32), np.arange(-n_grades + 1, 0, dtype=np.float64) * 4, bits)
         below = np.cumsum(np.bincount(y, minlength=n_grades))[:-1]
-        t0 = np.log((below + 0.5) / (n - below + 0.5)) if n else np.zeros(n_grades - 1)
+        t0 = np.log((below + 0.5) / (n - below + 0.5))
         x = np.concatenate([np.zeros(len(used)), t0[:1], np.log(np.maximum(np.diff(t0), 0.1))])  # gaps stay positive
         m, v = np.zeros_like(x), np.zeros_like(x)
-        for step in range(1, steps + 1 if n else 0):
+        for step in range(1, steps + 1):
             w, first, gaps = x[: len(used)], x[len(used)], np.exp(x[len(used) + 1 :])
             theta = first + np.concatenate([[0.0], np.cumsum(gaps)])
             score = np.zeros(n)
@@ -152,7 +154,7 @@ def grade(quality: str = "quality", toxic: str = "toxic") -> Column:
 
 
 def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 16_000, bits: int = SPACE_BITS, n_grades: int = GRADES, **fit) -> OrdinalModel:
-    """A model from ratings (id, grade), fitted on at most `most` rated documents.
+    """A model from ratings (id, grade), fitted on at most `most` rated documents; without any it keeps all texts.
 
     The sample is the rated ids with the least hashes, so it is the same on every run and needs no pass over the texts;
     the texts' feature numbers, never the texts, come to the driver: some MB, whatever the corpus.
