@@ -175,10 +175,14 @@ def _bucket_links(unit: np.ndarray, side: np.ndarray | None, copies: np.ndarray,
     unite(label, a[a < b], b[a < b])
     lists = [filters[i][filters[i] < filter_id] for i in hit.tolist()]
     known, at = np.unique(np.concatenate(lists), return_inverse=True)
-    if len(known):
-        has = np.zeros((len(hit), len(known)), np.float32)
-        has[np.repeat(np.arange(len(hit)), [len(x) for x in lists]), at] = 1
-        near[np.ix_(hit, hit)] &= has @ has.T < 0.5  # pairs with an earlier common filter are counted there
+    row = np.repeat(np.arange(len(hit)), [len(x) for x in lists])
+    earlier = np.zeros((len(hit), len(hit)), bool)
+    for first in range(0, len(known), 4096):  # some filters at a time: there may be very many
+        some = (at >= first) & (at < first + 4096)
+        has = np.zeros((len(hit), min(4096, len(known) - first)), np.float32)
+        has[row[some], at[some] - first] = 1
+        earlier |= has @ has.T > 0.5
+    near[np.ix_(hit, hit)] &= ~earlier  # pairs with an earlier common filter are counted there
     return (near.astype(np.float64) @ copies.astype(np.float64)).astype(np.int64), label
 
 
@@ -186,8 +190,8 @@ def cap_links(classes: DataFrame, least: float, passes: float = 20.0, bucket: in
     """(cid, linked: copies in other classes linked to it, root) from every filter where a class has a link.
 
     classes: cid, label, vec (finite, not zero, not null), copies. passes: how many filters a vector passes on average
-    at least, which sets the recall; large labels have higher caps, which are shared less, and take more. The number of filters grows with the rows of a
-    label so that a filter holds about `bucket` vectors; a filter with over `chunk` is dealt out by pairs of chunks.
+    at least, which sets the recall; large labels have higher caps, which are shared less, and take more. The number of
+    filters grows with the rows of a label so that a filter holds about `bucket` vectors; a filter with over `chunk` is dealt out by pairs of chunks.
     """
     sizes = classes.groupBy("label", F.size("vec").alias("dim")).count().groupBy("dim").agg(F.max("count").alias("n"))
     counts = {r["dim"]: r["n"] for r in sizes.collect()}  # one row per dimension
