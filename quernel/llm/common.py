@@ -75,14 +75,23 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def numbered(df: DataFrame, order: Sequence[Column], name: str, weight: Column | None = None, label: str = "numbered") -> DataFrame:
+#: A table with no more rows is small enough for one task.
+FEW = 10_000
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str, weight: Column | None = None, label: str = "numbered", few: bool = False) -> DataFrame:
     """df with `name`: the sum of `weight` (1 where None) over all rows before each row in `order`.
 
+    few: df is known to have at most FEW rows, so one task sums them.
+
     Rows are ranged over partitions, each partition is summed by itself, and only one total per partition meets in one
     task, so no task gets all rows. The ranged rows are written first, so that partition numbers cannot change.
     """
     spark = df.sparkSession
     weight = F.lit(1) if weight is None else weight
+    if few:
+        ahead = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(name, F.coalesce(F.sum(weight.cast("long")).over(ahead), F.lit(0)))
     part, base = fresh(df, "part_"), fresh(df, "base_")
     keys = [fresh(df, f"key_{i}_") for i in range(len(order))]
     ranged = df.select("*", *[c.alias(k) for c, k in zip(order, keys, strict=True)], weight.cast("long").alias(base))

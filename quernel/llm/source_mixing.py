@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernel.llm.common import WORD, cut, fresh, numbered
+from quernel.llm.common import FEW, WORD, cut, fresh, numbered
 
 #: How often weights repeat over the sources in code point order.
 WEIGHTS = (5, 2, 1)
@@ -34,7 +34,7 @@ def permuted(index: Column, n: Column, *seed: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), index, step)
 
 
-def source_targets(sized: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+def source_targets(sized: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, few: bool = False) -> DataFrame:
     """source, sid (0, 1, .. by code point, null last), source_size, target from rows (source, size).
 
     Targets are min(most * source_size, level * weight), where the level spends share * all sizes: what sources that
@@ -42,7 +42,7 @@ def source_targets(sized: DataFrame, share: float = 1.5, most: float = 2.0, weig
     over the sources; only those sums reach the driver.
     """
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    sources = numbered(sources, [F.col("source").isNull(), F.col("source")], "sid", label="mix-sources")
+    sources = numbered(sources, [F.col("source").isNull(), F.col("source")], "sid", label="mix-sources", few=few)
     sources = sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("sid") % len(weights) + 1).cast("int")))
     sources = cut(sources.withColumn("cap", F.col("source_size") * F.lit(most)), "mix-weights")
     first = sources.agg(F.sum("source_size"), F.sum("weight")).first()
@@ -57,12 +57,15 @@ def source_targets(sized: DataFrame, share: float = 1.5, most: float = 2.0, weig
     return sources.select("source", "sid", "source_size", F.least("cap", F.col("weight") * F.lit(level)).alias("target"))
 
 
-def draws(sources: DataFrame, block: int, shard_slots: int, seed: int) -> DataFrame:
-    """out_shard, slot, sid, pass, block_no: one row per slot of the mix. sources: sid, source_size, target."""
+def draws(sources: DataFrame, block: int, shard_slots: int, seed: int, few: bool = False) -> DataFrame:
+    """out_shard, slot, sid, pass, block_no: one row per slot of the mix. sources: sid, source_size, target.
+
+    few: see numbered; there is one row a source.
+    """
     spark = sources.sparkSession
     blocks = F.ceil(F.col("source_size") / block)
     quota = F.when(F.col("source_size") > 0, F.least(2 * blocks, F.round(F.col("target") * blocks / F.col("source_size")))).otherwise(0).cast("long")
-    shares = numbered(sources.select("sid", blocks.cast("long").alias("blocks"), quota.alias("quota")), [F.col("sid")], "low", F.col("quota"), "mix-shares")
+    shares = numbered(sources.select("sid", blocks.cast("long").alias("blocks"), quota.alias("quota")), [F.col("sid")], "low", F.col("quota"), "mix-shares", few)
     shares = cut(shares, "mix-quota")
     slots = shares.agg(F.sum("quota")).first()[0] or 0
     wide = max(1, -(-slots // 4096))  # a guide table: numbers of slots that a cell covers
@@ -76,7 +79,7 @@ def draws(sources: DataFrame, block: int, shard_slots: int, seed: int) -> DataFr
     got = counts.groupBy("sid").agg(F.min("before").alias("start"), F.sum("n").alias("got"))
     state = shares.join(got, "sid", "left").na.fill(0, ["got", "start"])
     state = state.select("sid", "blocks", "quota", "start", "got", F.greatest(F.col("got") - F.col("quota"), F.lit(0)).alias("over"), F.greatest(F.col("quota") - F.col("got"), F.lit(0)).alias("short"))
-    state = numbered(numbered(state, [F.col("sid")], "over_low", F.col("over"), "mix-over"), [F.col("sid")], "short_low", F.col("short"), "mix-short")
+    state = numbered(numbered(state, [F.col("sid")], "over_low", F.col("over"), "mix-over", few), [F.col("sid")], "short_low", F.col("short"), "mix-short", few)
     state = cut(state, "mix-state")
     within = F.row_number().over(Window.partitionBy("sid", "out_shard").orderBy("slot")) - 1
     ranked = drawn.join(counts.select("sid", "out_shard", "before"), ["sid", "out_shard"]).withColumn("rank", F.col("before") + within).drop("before")
@@ -103,17 +106,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *_keys(id_col, text_col), word_count(text_col).alias("size"))
     sized = cut(sized.withColumn("row_id", F.monotonically_increasing_id()), "mix-sizes")
-    sources = cut(source_targets(sized, share), "mix-targets")
+    few = sized.select("source").distinct().limit(FEW + 1).count() <= FEW
+    sources = cut(source_targets(sized, share, few=few), "mix-targets")
     rows = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     order = [F.col("sid"), F.xxhash64(F.lit(seed), "key_a", "key_b"), F.col("key_a"), F.col("key_b"), F.col("row_id")]
     rows = numbered(rows, order, "offset", F.col("size"), "mix-offsets")
-    starts = numbered(sources, [F.col("sid")], "source_start", F.col("source_size"), "mix-starts").select("sid", "source_start")
+    starts = numbered(sources, [F.col("sid")], "source_start", F.col("source_size"), "mix-starts", few).select("sid", "source_start")
     rows = cut(rows.join(starts, "sid").withColumn("offset", F.col("offset") - F.col("source_start")).drop("source_start"), "mix-rows")
     end = F.col("offset") + F.col("size")
     parts = rows.where("size > 0").select("row_id", "sid", "offset", end.alias("end"), F.explode(F.sequence(F.floor(F.col("offset") / block), F.floor((end - 1) / block))).alias("block_no"))
     low, high = F.greatest("offset", F.col("block_no") * block), F.least("end", (F.col("block_no") + 1) * block)
     parts = parts.select("row_id", "sid", "block_no", (low - F.col("offset")).alias("first"), (high - low).alias("words"))
-    pieces = parts.join(draws(sources, block, shard_slots, seed), ["sid", "block_no"])
+    pieces = parts.join(draws(sources, block, shard_slots, seed, few), ["sid", "block_no"])
     return rows.drop("sid", "offset"), pieces.select("row_id", "out_shard", "slot", "pass", "first", "words")
 
 

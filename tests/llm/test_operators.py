@@ -798,6 +798,12 @@ def test_mixing(spark, odd, empty):
     assert sm.mix_digest(empty).count() == 0
 
 
+def test_mixing_alike_with_many_sources(spark, odd, monkeypatch):
+    want = sorted(map(str, sm.mix_digest(odd).collect()))
+    monkeypatch.setattr(sm, "FEW", 1)
+    assert sorted(map(str, sm.mix_digest(odd).collect())) == want
+
+
 def test_mixed_documents_have_the_words_taken(spark, odd):
     taken = sum(r["taken"] for r in sm.mix_digest(odd).collect())
     out = sm.mixed_documents(odd)
