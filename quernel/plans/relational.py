@@ -376,7 +376,7 @@ def sp4b(spark, d):
     return both.distinct().groupBy("o_orderstatus", "part").agg(F.count("*").alias("n"))
 
 
-@query("w5_stratified_folds", "SELECT l_returnflag, k % 5 AS fold, count(*) AS n FROM (SELECT l_returnflag, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) - 1 AS k FROM lineitem) GROUP BY 1, 2")
+@query("w5_stratified_folds", "SELECT l_returnflag, (k % 5)::INT AS fold, count(*) AS n FROM (SELECT l_returnflag, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) - 1 AS k FROM lineitem) GROUP BY 1, 2")
 def w5(spark, d):
     return W.stratified_folds(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), "l_returnflag").groupBy("l_returnflag", "fold").agg(F.count("*").alias("n"))
 
