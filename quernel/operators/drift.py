@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quernel.functions.durable import written
 from quernel.functions.ordered import exact_quantiles, running
 from quernel.functions.scalars import fingerprint
 from quernel.operators.aggregates import long_form
@@ -34,7 +35,7 @@ def two_sample(ref: DataFrame, cmp: DataFrame, columns: Sequence[str]) -> DataFr
     rows = _both(ref, cmp, columns, "double")
     counts = rows.groupBy("feature", "value").agg(F.sum((F.col("side") == 0).cast("double")).alias("a"), F.sum((F.col("side") == 1).cast("double")).alias("b"))
     totals = counts.groupBy("feature").agg(F.sum("a").alias("n"), F.sum("b").alias("m")).where("n > 0 and m > 0")
-    run = running(counts, ["value"], {"ca": F.col("a"), "cb": F.col("b")}, ["feature"]).join(totals, "feature")
+    run = running(counts, ["value"], {"ca": F.col("a"), "cb": F.col("b")}, ["feature"]).join(F.broadcast(totals), "feature")  # one row a column
     n, m, a, b = F.col("n"), F.col("m"), F.col("a"), F.col("b")
     ahead_a, ahead_b = F.col("ca") - a, F.col("cb") - b
     now, last = F.abs(F.col("ca") / n - F.col("cb") / m), F.abs(ahead_a / n - ahead_b / m)
@@ -53,7 +54,8 @@ def two_sample(ref: DataFrame, cmp: DataFrame, columns: Sequence[str]) -> DataFr
 
 def _binned(rows: DataFrame, edges: DataFrame, bin_of: Column) -> DataFrame:
     """(feature, bin, a, b) counts with empty bins of a feature's `n_bins` as rows of zeros."""
-    counts = rows.join(edges, "feature").withColumn("bin", bin_of).where("bin is not null")
+    edges = written(edges, "edges")  # one row a column; it is read twice
+    counts = rows.join(F.broadcast(edges), "feature").withColumn("bin", bin_of).where("bin is not null")
     counts = counts.groupBy("feature", "bin").agg(F.sum((F.col("side") == 0).cast("double")).alias("a"), F.sum((F.col("side") == 1).cast("double")).alias("b"))
     spine = edges.select("feature", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bins").cast("long") - 1)).alias("bin"))
     return spine.join(counts, ["feature", "bin"], "left").na.fill(0.0, ["a", "b"])
@@ -71,7 +73,7 @@ def psi_numeric(ref: DataFrame, cmp: DataFrame, columns: Sequence[str], bins: in
     even = F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: F.col("lo") + i * step)
     q = q.select("feature", F.when(F.size("q") < 2, even).otherwise(F.col("q")).alias("edges")).withColumn("n_bins", F.size("edges") - 1)
     inside = (F.col("value") >= F.element_at("edges", 1)) & (F.col("value") <= F.element_at("edges", -1))
-    below = F.size(F.filter("edges", lambda e: e <= F.col("value")))
+    below = sum((F.when(F.get("edges", F.lit(i)) <= F.col("value"), 1).otherwise(0) for i in range(bins + 1)), F.lit(0))
     counts = _binned(rows, q, F.when(inside, F.least(below - 1, F.col("n_bins") - 1)).cast("long"))
     by = _ANY("feature")
     counts = counts.select("feature", (F.col("a") / F.sum("a").over(by)).alias("p"), (F.col("b") / F.greatest(F.sum("b").over(by), F.lit(1.0))).alias("q"))

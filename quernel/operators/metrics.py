@@ -91,8 +91,10 @@ def roc_points(df: DataFrame, target: str, score: str) -> DataFrame:
 
 def auc(df: DataFrame, target: str, score: str) -> DataFrame:
     """auc: the rank sum of the positives, ties at their mean rank, over rows without nulls; null unless both classes occur."""
-    ranked = average_ranks(df.select(F.col(target).alias("y"), F.col(score).cast("double").alias("s")).where("y is not null and s is not null"), "s", "r")
-    s = ranked.agg(F.sum(F.when(F.col("y") == 1, F.col("r"))).alias("r"), F.count_if(F.col("y") == 1).cast("double").alias("p"), F.count_if(F.col("y") != 1).cast("double").alias("n"))
+    rows = df.select((F.col(target) == 1).alias("y"), F.col(score).cast("double").alias("s")).where("y is not null and s is not null")
+    counts = rows.groupBy("s").agg(F.count_if("y").alias("p"), F.count("*").alias("c"))
+    ranked = running(counts, ["s"], {"upto": F.col("c")})  # of each score: its rows share the rank upto - (c - 1) / 2
+    s = ranked.agg(F.sum(F.when(F.col("p") > 0, F.col("p") * (F.col("upto") - (F.col("c") - 1) / 2))).alias("r"), F.sum("p").cast("double").alias("p"), F.sum(F.col("c") - F.col("p")).cast("double").alias("n"))
     return s.select(F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("n")).alias("auc"))
 
 
