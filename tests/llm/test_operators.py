@@ -847,6 +847,39 @@ def test_scores_match_the_formula(spark, odd, empty):
     assert oq.train(empty, ratings).thresholds.shape == (2,)
 
 
+def brute_features(text, bits):
+    """The feature numbers of a text, by plain Python over its words and characters."""
+    import math
+    import string
+
+    raw = text.encode()
+    low = bytes(b + 32 if 65 <= b <= 90 else 32 if chr(b) in string.punctuation else 48 if 48 <= b <= 57 else b for b in raw)
+    words = re.findall(rb"[^\x20\x09-\x0D]+", low)
+
+    def number(h):
+        return int(h) >> (64 - bits)
+
+    out = [number(wh.word_hashes(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0]) for w in sorted(set(words))]
+    count = lambda f: sum(f(b) for b in raw)
+    shares = [(count(lambda b: 65 <= b <= 90), len(raw)), (count(lambda b: 48 <= b <= 57), len(raw)), (count(lambda b: b in b"\t\n\x0b\x0c\r "), len(raw))]
+    shares += [(raw.count(c.encode()), len(raw)) for c in string.punctuation]
+    shares += [(sum(a == b for a, b in zip(words, words[1:])), len(words)), (len(words) - len(set(words)), len(words)), (len(raw), max(1, len(words)) * 64), (min(len(words), 4096), 4096)]  # noqa: B905
+    for k, (part, whole) in enumerate(shares):
+        b = 0 if not part else 1 + math.floor(2 * math.log2(max(part / max(whole, 1), 2**-12) * 4096))
+        out.append(number(wh.mix(np.array([0xA5A5 + k * 1000 + b], np.uint64))[0]))
+    return sorted(out)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet="aB9 .,!\n\té", max_size=50), min_size=1, max_size=5))
+def test_features_against_brute_force(texts):
+    import pyarrow as pa
+
+    for first, ends, feats in oq.features(pa.array(texts)):
+        for k in range(len(ends) - 1):
+            assert sorted(feats[ends[k] : ends[k + 1]].tolist()) == brute_features(texts[first + k], oq.SPACE_BITS)
+
+
 def test_ordinal_gradient():
     rng = np.random.default_rng(0)
     feats = [rng.choice(40, 6, False) for _ in range(200)]
