@@ -121,15 +121,29 @@ def join_hot(left: DataFrame, right: DataFrame, keys: Sequence[str], count: str,
     return left.join(few, [*keys], how).unionByName(rest.join(right.where(~hot).drop(count), [*keys], how))
 
 
-def components(edges: DataFrame, label: str = "cc") -> DataFrame:
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of the components of all edges (u, v) in the batches."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    u, v = (np.concatenate([np.zeros(0, np.int64), *[p[k] for p in parts]]) for k in (0, 1))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    label = np.arange(len(nodes))
+    unite(label, at[: len(u)], at[len(u) :])
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "root"])
+
+
+def components(edges: DataFrame, label: str = "cc", few: int = 1 << 20) -> DataFrame:
     """(node, root) for every node of the undirected `edges` (a, b: long); root is the least node reachable.
 
-    Alternating large and small stars: minima are pre-aggregated and edges are joined to them, so a node with very many
+    At most `few` distinct edges (16 bytes each) are united by one task. For more there are
+
+    alternating large and small stars: minima are pre-aggregated and edges are joined to them, so a node with very many
     neighbours is neither gathered in one task (see join_hot) nor expanded into pairs. Each round is a written table.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = cut(e, label)
     n, seen = e.count(), None
+    if n <= few:
+        return cut(e.coalesce(1).mapInArrow(_united, "node bigint, root bigint"), label)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))

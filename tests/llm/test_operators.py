@@ -65,18 +65,20 @@ def test_against_sql(name, spark, sf):
 # --- shared pieces
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_components(spark, few):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000, 1000 + k) for k in range(1, 200)] + [(k, k + 1) for k in range(2000, 2060)]
     label = np.arange(3000)
     unite(label, np.array([a for a, _ in edges]), np.array([b for _, b in edges]))
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()}
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: int(label[x]) for x in linked}
 
 
 def test_components_of_nothing(spark):
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    for few in (-1, 0, 10):
+        assert components(spark.createDataFrame([], "a long, b long"), few=few).count() == 0
 
 
 def test_numbered_sums(spark):
