@@ -1,8 +1,9 @@
 """Near-duplicates by the Jaccard similarity of word shingles: tries over slices of a long SimHash, then exact sets.
 
 Texts with the same set of shingles are one class. A class has a fingerprint of 1,024 bits, and several tries read other
-slices of it. Classes that share a slice are compared on the first 256 bits; what is near there is joined into loose
-groups. Inside a loose group the similarity of the shingle sets themselves decides, so no link is below the threshold.
+slices of it first. Classes that share a slice start at one node of its trie; from there pairs of nodes are walked together
+over the next 64 bits, as in simhash_trie, and a pair is left once it differs in too many. Leaves that are reached are
+compared on the first 256 bits; what is near there is joined into loose groups. Inside a loose group the similarity of the shingle sets themselves decides, so no link is below the threshold.
 With more classes slices get longer, so that nodes stay small, and tries get more, so that the recall stays.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.llm.common import components, cut, unite, whole_groups
-from quernel.llm.simhash_trie import keep_first
+from quernel.llm.simhash_trie import keep_first, walk
 from quernel.llm.word_hash import mix, rolling, slices, word_hashes
 
 BITS = 1024
@@ -59,18 +60,23 @@ def tries_for(classes: int, recall: float = 0.995) -> list[np.ndarray]:
     return [rng.choice(BITS, width, replace=False) for _ in range(tries)]
 
 
-def _near(bits: np.ndarray, side: np.ndarray, cross: bool, label: np.ndarray) -> None:
-    """Unite in `label` the rows of `bits` (4 words each) that are near; of a pair of chunks only rows across."""
-    step = max(1, (1 << 20) // len(bits))
-    for at in range(0, len(bits), step):
-        a, b = np.nonzero(np.bitwise_count(bits[at : at + step, None, 0] ^ bits[None, at:, 0]) <= LOOSE[0])
-        a, b = a + at, b + at
-        fit = (a < b) & (label[a] != label[b])
-        if cross:
-            fit &= side[a] != side[b]
-        a, b = a[fit], b[fit]
-        fit = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= LOOSE[1]
-        unite(label, a[fit], b[fit])
+def walk_tries(heads: np.ndarray, start: np.ndarray, end: np.ndarray, cross: np.ndarray, side: np.ndarray, label: np.ndarray) -> None:
+    """Unite in `label` the rows of `heads` (4 words each) that are near, inside nodes of rows start to end that share a
+    slice; of a pair of chunks (cross) only rows of different sides."""
+    node = np.repeat(np.arange(len(start)), end - start)
+    order = np.lexsort((heads[:, 0], np.where(np.repeat(cross, end - start), side, 0), node))  # each side of a node in the order of its trie
+    heads, own = heads[order], np.arange(len(order))
+    second = np.where(cross, end - np.add.reduceat(side, start), start)
+    first_end = np.where(cross, second, end)
+    nodes = np.column_stack([start, first_end, second, end])
+    nodes = nodes[(first_end > start) & (end > second) & (end - start > 1)]
+
+    def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(heads[a] ^ heads[b]).sum(axis=1, dtype=np.int64) <= LOOSE[1]
+
+    walk(np.ascontiguousarray(heads[:, 0]), nodes, np.zeros(len(nodes), np.int64), LOOSE[0], own, most=100_000, alike=alike)
+    hit = np.flatnonzero(own != np.arange(len(own)))
+    unite(label, order[hit], order[own[hit]])
 
 
 def _similar(sets: list[np.ndarray], side: np.ndarray, cross: bool, least: Fraction, label: np.ndarray) -> None:
@@ -93,8 +99,8 @@ def _similar(sets: list[np.ndarray], side: np.ndarray, cross: bool, least: Fract
 
 
 def _by_groups(dealt: DataFrame, key: str, chunk: int, least: int, forest) -> DataFrame:
-    """Edges (a, b) of the forests that `forest(table, side, cross, label)` finds in groups of equal `key`, dealt out by
-    pairs of chunks where they are large. dealt: cls, key and what forest reads."""
+    """Edges (a, b) of the forests that `forest(table, start, end, cross, side, label)` finds in groups of equal `key` (rows
+    start to end), dealt out by pairs of chunks where they are large. dealt: cls, key and what forest reads."""
     large = dealt.groupBy(key).count().where(F.col("count") > chunk)
     large = cut(large.select(key, F.ceil(F.col("count") / chunk).cast("int").alias("chunks")), "slices-large")
     rest = [c for c in dealt.columns if c != key]
@@ -111,22 +117,17 @@ def _by_groups(dealt: DataFrame, key: str, chunk: int, least: int, forest) -> Da
         for table in whole_groups(batches, keys, least):
             k, i, j, side, cls = (table.column(c).to_numpy() for c in (*keys, "side", "cls"))
             start = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
-            a, b = [], []
-            for s, e in zip(start.tolist(), [*start[1:].tolist(), len(k)], strict=True):
-                if e - s > 1:
-                    label = np.arange(e - s)
-                    forest(table.slice(s, e - s), side[s:e], i[s] != j[s], label)
-                    hit = np.flatnonzero(label != np.arange(e - s))
-                    a.append(cls[s:e][hit])
-                    b.append(cls[s:e][label[hit]])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            label = np.arange(len(k))
+            forest(table, start, np.append(start[1:], len(k)), i[start] != j[start], side, label)
+            hit = np.flatnonzero(label != np.arange(len(k)))
+            if len(hit):
+                yield pa.RecordBatch.from_arrays([pa.array(cls[hit]), pa.array(cls[label[hit]])], names=["a", "b"])
 
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(join, "a bigint, b bigint")
 
 
 def loose_links(classes: DataFrame, chunk: int = 8192) -> DataFrame:
-    """Edges (a, b) that join classes (cls, fp) which share a slice and are near on the first 256 bits."""
+    """Edges (a, b) that join classes (cls, fp) which share a slice and are near on the first 256 bits, by walks of its trie."""
     chosen = tries_for(classes.count())
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,8 +142,8 @@ def loose_links(classes: DataFrame, chunk: int = 8192) -> DataFrame:
                     node = bits[:, slice_] @ (1 << np.arange(len(slice_), dtype=np.int64)) + (t << len(slice_))
                     yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node), *words], names=["cls", "node", "f0", "f1", "f2", "f3"])
 
-    def forest(table, side, cross, label):
-        _near(np.column_stack([table.column(f"f{w}").to_numpy().view(np.uint64) for w in range(4)]), side, cross, label)
+    def forest(table, start, end, cross, side, label):
+        walk_tries(np.column_stack([table.column(f"f{w}").to_numpy().view(np.uint64) for w in range(4)]), start, end, cross, side, label)
 
     dealt = classes.select("cls", "fp").mapInArrow(spread, "cls bigint, node bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
     return _by_groups(dealt, "node", chunk, 65_536, forest)
@@ -164,8 +165,12 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 fps.append(fingerprint(s).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cls.view(np.int64)), pa.array(fps, pa.binary())], names=["id", "own", "cls", "fp"])
 
-    def forest(table, side, cross, label):
-        _similar(list(shingle_sets(table.column("text"), shingle)), side, cross, least, label)
+    def forest(table, start, end, cross, side, label):
+        for s, e, c in zip(start.tolist(), end.tolist(), cross.tolist(), strict=True):
+            if e - s > 1:
+                own = np.arange(e - s)
+                _similar(list(shingle_sets(table.column("text").slice(s, e - s), shingle)), side[s:e], c, least, own)
+                label[s:e] = s + own
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("own"), F.col(text_col).alias("text"))

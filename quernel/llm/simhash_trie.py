@@ -11,7 +11,7 @@ spanning forest of the links that it finds, never the links themselves, and star
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -75,9 +75,11 @@ def _reordered(fp: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(bits), axis=1, bitorder="big").reshape(-1).view(">u8").astype(np.uint64)
 
 
-def walk(path: np.ndarray, nodes: np.ndarray, depth: np.ndarray, budget: int, label: np.ndarray, direct: int = 64, most: int = 400_000) -> None:
+def walk(path: np.ndarray, nodes: np.ndarray, depth: np.ndarray, budget: int, label: np.ndarray, direct: int = 64, most: int = 400_000, alike: Callable | None = None) -> None:
     """Walk pairs of trie nodes; unite in `label` the leaves that differ in at most `budget` bits.
 
+    alike: tells for leaves (a, b) within the budget which of them to unite; all where None.
+
     path: for each leaf its bits, in the order of the trie; sorted inside each node. nodes: rows (a0, a1, b0, b1), the
     leaf ranges of two nodes that agree so far (a0 = b0 for a node with itself). depth: bits that each row has read.
     Small node pairs are compared leaf by leaf. At most about `most` pairs are held; the others wait on a stack.
@@ -94,7 +96,7 @@ def walk(path: np.ndarray, nodes: np.ndarray, depth: np.ndarray, budget: int, la
         size = (n[:, 1] - n[:, 0]) * (n[:, 3] - n[:, 2])
         small = (size <= direct) | (d >= BITS)
         if small.any():
-            _compare(path, n[small], size[small], budget, label, most)
+            _compare(path, n[small], size[small], budget, label, most, alike)
             n, d, e = n[~small], d[~small], e[~small]
         if not len(n):
             continue
@@ -126,7 +128,7 @@ def _split(path: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray)
     return lo
 
 
-def _compare(path: np.ndarray, n: np.ndarray, size: np.ndarray, budget: int, label: np.ndarray, most: int) -> None:
+def _compare(path: np.ndarray, n: np.ndarray, size: np.ndarray, budget: int, label: np.ndarray, most: int, alike: Callable | None) -> None:
     at = 0
     ends = np.cumsum(size)
     while at < len(n):
@@ -139,7 +141,11 @@ def _compare(path: np.ndarray, n: np.ndarray, size: np.ndarray, budget: int, lab
         near = (a != b) & (label[a] != label[b])
         a, b = a[near], b[near]
         near = np.bitwise_count(path[a] ^ path[b]) <= budget
-        unite(label, a[near], b[near])
+        a, b = a[near], b[near]
+        if alike is not None:
+            near = alike(a, b)
+            a, b = a[near], b[near]
+        unite(label, a, b)
         at = to
 
 

@@ -3,6 +3,7 @@ import pytest
 
 import corpus_pipeline as cp
 from quernel.llm.common import unite
+from quernel.llm import simhash_slices as SS
 from quernel.llm.simhash_slices import keep_similar
 
 
@@ -40,3 +41,25 @@ def test_short_and_planted_near_duplicates(spark):
         got = {r["doc_id"] for r in keep_similar(docs, chunk=chunk).collect()}
         want = set(brute_similar(rows))
         assert got >= want and len(got - want) <= 0.01 * (len(rows) - len(want))
+
+
+@pytest.mark.parametrize("cross", [False, True])
+def test_tries_are_walked_and_find_all_near_fingerprints(cross, monkeypatch):
+    rng = np.random.default_rng(5)
+    seeds = rng.integers(0, 2, (3, 150, 256), dtype=np.uint8)
+    near = (seeds ^ (rng.random(seeds.shape) < rng.uniform(0.05, 0.4, (3, 150, 1)))).astype(np.uint8)  # some beyond the limits
+    bits = np.concatenate([seeds, near], axis=1).reshape(-1, 256)
+    heads = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    node = np.repeat(np.arange(3), 300)
+    side = rng.integers(0, 2, len(node)) if cross else np.zeros(len(node), int)
+    start, label, want, seen = np.arange(3) * 300, np.arange(len(node)), np.arange(len(node)), []
+    walk = SS.walk
+    monkeypatch.setattr(SS, "walk", lambda path, nodes, *a, **b: (seen.append(len(nodes)), walk(path, nodes, *a, **b)))
+    SS.walk_tries(heads, start, start + 300, np.full(3, cross), side, label)
+    differ = (bits[:, None] != bits[None]).astype(np.int32)
+    fit = (differ[:, :, :64].sum(2) <= SS.LOOSE[0]) & (differ.sum(2) <= SS.LOOSE[1]) & (node[:, None] == node[None])
+    if cross:
+        fit &= side[:, None] != side[None]
+    unite(want, *np.nonzero(fit))
+    assert seen == [3] and 0 < (want != np.arange(len(want))).sum() < 450
+    assert sorted(map(tuple, {x: np.flatnonzero(label == x).tolist() for x in label}.values())) == sorted(map(tuple, {x: np.flatnonzero(want == x).tolist() for x in want}.values()))
