@@ -467,3 +467,26 @@ def test_streams(spark, cats, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("encoded").count() == cats.count()
+
+
+def test_kernel_dependence_takes_no_pairs_of_rows(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    n = 401
+    x = np.column_stack([rng.normal(size=n), rng.integers(0, 7, n) / 3, np.where(rng.random(n) < 0.7, 0, rng.random(n)), rng.exponential(size=n) ** 2])
+    x[100:160] = x[:60]
+    squares = [(c[:, None] - c) ** 2 for c in x.T]
+    kernels = [np.exp(-d / (2 * max(np.median(d[np.triu_indices(n, 1)]), 1e-12))) for d in squares]
+    centre = np.eye(n) - 1 / n
+    want = np.array([[np.sum((centre @ k @ centre) * m) / (n - 1) ** 2 for m in kernels] for k in kernels])
+    df = spark.createDataFrame(x.tolist(), "a double, b double, c double, d double")
+
+    def none(*args):
+        raise AssertionError("pairs of all rows")
+
+    with monkeypatch.context() as m:
+        m.setattr(H, "_block_pairs", none)
+        assert np.allclose(H._gram(df, list("abcd"), [None] * 4), want, rtol=1e-9, atol=0)
+        m.setattr(H, "_FEW", 0)  # bounds meet bit by bit, in many blocks
+        assert np.allclose(H._gram(df, list("abcd"), [None] * 4, block=64), want, rtol=1e-9, atol=0)
+    monkeypatch.setattr(H, "ALL_TERMS", 0)  # too wide for series: pair by pair
+    assert np.allclose(H._gram(df, list("abcd"), [None] * 4), want, rtol=1e-9, atol=0)
