@@ -490,3 +490,13 @@ def test_kernel_dependence_takes_no_pairs_of_rows(spark, monkeypatch):
         assert np.allclose(H._gram(df, list("abcd"), [None] * 4, block=64), want, rtol=1e-9, atol=0)
     monkeypatch.setattr(H, "ALL_TERMS", 0)  # too wide for series: pair by pair
     assert np.allclose(H._gram(df, list("abcd"), [None] * 4), want, rtol=1e-9, atol=0)
+
+
+def test_boosters_get_equal_rows_once(spark, monkeypatch):
+    from pyspark.ml.regression import GBTRegressor
+
+    df = spark.range(4000).selectExpr("cast(id % 5 as double) as a", "cast(id % 3 as double) as b", "cast(id % 5 + 2 * (id % 3) as double) as y")
+    fit, seen = GBTRegressor.fit, []
+    monkeypatch.setattr(GBTRegressor, "fit", lambda self, rows, *a: (seen.append((rows.count(), rows.agg(F.sum("_weight")).first()[0])), fit(self, rows, *a))[1])
+    model = X._fit(X.REGRESSORS, "gbt", X.assembled(df, ["a", "b"]), "y", {"maxIter": 3, "maxDepth": 2, "stepSize": 0.5})
+    assert seen == [(15, 4000.0)] and set(X.gain_importance(model, ["a", "b"])) == {"a", "b"}
