@@ -613,3 +613,48 @@ def test_paths_that_rows_hold_are_those_of_sql(spark, monkeypatch):
     got = {r["k"]: list(r["v"].toArray()) for r in X._held(df, ["a", "b"], found, "v").collect()}
     want = df.select("k", *[F.expr(f"coalesce(double({t}), 0.0)") for t in texts]).collect()
     assert len(got) == 28 and all(got[r[0]] == list(r[1:]) for r in want)
+
+
+def test_shapley_selection_explains_every_row(spark, monkeypatch):
+    # many copies of few rows, some of them null in a feature
+    df = spark.range(9000).selectExpr("cast(pmod(hash(id), 12) as double) as a", "nullif(cast(pmod(hash(id, 1), 9) as double), 8) as b", "id").selectExpr("a", "b", "a + 3 * coalesce(b, 0) as y")
+    fit, models = X._fit, []
+    monkeypatch.setattr(X, "_fit", lambda *a, **b: (models.append(fit(*a, **b)), models[-1])[1])
+    s = X.ProbeSelector(probes=2, rounds=1, mode="shap", params={"maxIter": 4, "maxDepth": 3}).fit(df, "y", ["a", "b"])
+    data, probes = X.ProbeSelector(probes=2)._with_probes(df)
+    folds, names, want = W.shuffled_folds(data, 3, 42, "_fold").toPandas(), ["a", "b", *probes], []
+    for f, model in enumerate(models):
+        x = folds[folds["_fold"] == f][names].dropna().to_numpy()
+        want.append(np.abs(EX.shapley(EX.leaves(model, spark), x)).mean(0))
+        assert len(x) > 2000  # before: the 2,000 with the least hashes
+    got = {r["feature"]: r for r in s.trace.collect()}
+    assert len(models) == 3
+    for i, c in enumerate("ab"):
+        v = np.array(want)[:, i]
+        assert np.allclose([got[c]["mean"], got[c]["min"], got[c]["max"]], [v.mean(), v.min(), v.max()], rtol=1e-9)
+    assert np.isclose(got["a"]["threshold"], np.mean(want, 0)[2:].mean())
+    # counts instead of rows, and all rows one by one, give the same
+    x = W.shuffled_folds(data, 3, 42, "_fold").where("_fold = 0").na.drop()
+    few = x.groupBy(*names).agg(F.count("*").alias("n"))
+    for rows, count in ((x, None), (few, "n")):
+        found = {r["feature"]: r["importance"] for r in EX.importance(models[0], rows, names, None, count).collect()}
+        assert np.allclose([found[c] for c in names], want[0], rtol=1e-9, atol=1e-15)
+
+
+def test_shapley_selection_of_classes_explains_every_row(spark, monkeypatch):
+    df = spark.range(7000).selectExpr("cast(pmod(hash(id), 12) as double) as a", "cast(pmod(hash(id, 1), 9) as double) as b", "cast(pmod(hash(id), 12) > 5 as int) as y")
+    fit, models = X._fit, []
+    monkeypatch.setattr(X, "_fit", lambda *a, **b: (models.append(fit(*a, **b)), models[-1])[1])
+    s = X.ProbeSelector(probes=2, rounds=1, mode="shap", params={"numTrees": 5, "maxDepth": 3}).fit(df, "y", ["a", "b"])
+    data, probes = X.ProbeSelector(probes=2)._with_probes(df.select("a", "b", F.col("y").cast("double").alias("y")))
+    folds = W.stratified_folds(data, "y", 3, 42, "_fold").toPandas()
+    want = [np.abs(EX.shapley(EX.leaves(m, spark), folds[folds["_fold"] == f][["a", "b", *probes]].to_numpy())).mean(0) for f, m in enumerate(models)]
+    assert "a" in s.kept and np.isclose({r["feature"]: r["mean"] for r in s.trace.collect()}["a"], np.mean(want, 0)[0], rtol=1e-9)
+
+
+@pytest.mark.parametrize("counted", [False, True])
+def test_rows_in_folds_by_counts(spark, counted):
+    df = spark.range(3000).selectExpr("nullif(cast(pmod(hash(id), 4) as double), 3) as a", "cast(pmod(hash(id, 1), 3) as double) as b")
+    want = {tuple(r) for r in W.shuffled_folds(df, 4).groupBy("a", "b", "fold").count().collect()}
+    rows = df.groupBy("a", "b").agg(F.count("*").alias("n")) if counted else df
+    assert {tuple(r) for r in W.counted_folds(rows, None, 4).collect()} == want
